@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import common
+from textloom.llm.langid import identify
+from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_count import token_counts
 from textloom.llm.token_output import read_token_ids, write_token_ids
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(common.table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -24,6 +34,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
     "op6_token_counts": op6_token_counts,
     "op10_token_output": op10_token_output,
 }
