@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import common
+from textloom.llm.decontaminate import matches
 from textloom.llm.langid import identify
 from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_count import token_counts
 from textloom.llm.token_output import read_token_ids, write_token_ids
+from textloom.llm.url_filter import PATTERNS, host_path_rule, judge
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -24,10 +27,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(common.table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [host_path_rule(rule, verdict) for rule, verdict in URL_RULES]
+    return judge(common.table(spark, sf_dir, "pages"), [*rules, *PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_ids(common.table(spark, sf_dir, "documents"), common.shared_path(spark, "token-ids"), public_tokenizers.path(VOCABULARY))
     return read_token_ids(spark, path, content="crc")
@@ -36,7 +48,31 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH cut AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule, rule_host, rule_path, verdict) AS (VALUES
+  ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+  ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+judged AS (
+  SELECT c.*, (SELECT arg_max(r.rule, length(r.rule)) FROM rules r
+    WHERE (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path)) AS rule
+  FROM cut c)
+SELECT page_id, host, path, j.rule,
+  coalesce(r.verdict, CASE
+    WHEN regexp_matches(host || path, '^([^/]*\.)?spam-farm\.') OR regexp_matches(host || path, '^([^/]*[.-])?(cheap|buy|online)-pills?[.-]')
+      OR regexp_matches(host || path, '^([^/]*[.-])?casino[.-]') OR regexp_matches(host || path, '^([^/]*[.-])?(porn|xxx)[.-]')
+      OR regexp_matches(host || path, '^([^/]*[.-])?(free|win)-(prizes?|money)[.-]') OR regexp_matches(host || path, '/(click|track)\.(php|cgi)$')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN rules r ON j.rule = r.rule
+""".replace("\\\\", "\\")
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
