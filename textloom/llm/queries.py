@@ -6,19 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import common
 from textloom.llm.decontaminate import matches
 from textloom.llm.langid import identify
+from textloom.llm.line_dedup import dedup_lines
+from textloom.llm.mixing import plan, with_copies, word_count
 from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_count import token_counts
 from textloom.llm.token_output import read_token_ids, write_token_ids
 from textloom.llm.url_filter import PATTERNS, host_path_rule, judge
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+MIX_ENTROPY = 0.95
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(common.table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    mix = plan(docs, word_count(F.col("text")), target_entropy=MIX_ENTROPY)
+    return with_copies(docs.select("doc_id", "source"), mix).select("doc_id", "source", F.round("weight", 6).alias("weight"), "copies")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [host_path_rule(rule, verdict) for rule, verdict in URL_RULES]
     return judge(common.table(spark, sf_dir, "pages"), [*rules, *PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
@@ -46,13 +61,62 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op10_token_output": op10_token_output,
 }
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+worded AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM lines
+  WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+three AS (
+  SELECT doc_id, pos, k, lead(k) OVER o AS k2, lead(k, 2) OVER o AS k3, lead(pos) OVER o AS pos2, lead(pos, 2) OVER o AS pos3 FROM worded
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, k2, k3 ORDER BY doc_id, pos) AS rn FROM three WHERE k3 IS NOT NULL) WHERE rn > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([pos, pos2, pos3]) AS pos FROM later),
+marked AS (
+  SELECT l.*, g.pos IS NOT NULL AS out FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed,
+  coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (out), '') AS removed_lines,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS clean_md5
+FROM marked GROUP BY doc_id
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens,
+    ('0x' || left(md5('block0|' || doc_id), 8))::BIGINT % 1024 AS block FROM documents),
+cells AS (SELECT source, block, sum(tokens) AS tokens FROM words GROUP BY ALL),
+sizes AS (SELECT source, sum(tokens)::DOUBLE AS tokens FROM cells GROUP BY ALL),
+shares AS (SELECT list(tokens / total) AS p, any_value(total) AS total FROM sizes, (SELECT sum(tokens) AS total FROM sizes)),
+search(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+    SELECT step, low, high, mid, ln(z) - mid * s / z >= {MIX_ENTROPY} * ln(len(p)) - 1e-12 AS ok FROM (
+      SELECT step, low, high, p, mid, list_sum(list_transform(p, lambda x: pow(x, mid))) AS z, list_sum(list_transform(p, lambda x: pow(x, mid) * ln(x))) AS s
+      FROM (SELECT step, low, high, CASE WHEN step = 0 THEN 1.0::DOUBLE ELSE (low + high) / 2 END AS mid, p FROM search, shares WHERE step < 60)))),
+chosen AS (SELECT low AS a FROM search ORDER BY step DESC LIMIT 1),
+weights AS (
+  SELECT source, tokens, pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, total FROM sizes, shares, chosen),
+quotas AS (SELECT *, floor(weight * total / tokens + 1e-9) AS epochs FROM weights),
+ranked AS (
+  SELECT source, block, sum(tokens) OVER (PARTITION BY source ORDER BY md5('order0|' || source || '|' || block)[:8], block) - tokens / 2 AS upto FROM cells),
+taken AS (
+  SELECT r.source, r.block, q.weight, q.epochs + CASE WHEN q.weight * q.total - q.epochs * q.tokens > 0 AND r.upto <= q.weight * q.total - q.epochs * q.tokens THEN 1 ELSE 0 END AS copies
+  FROM ranked r JOIN quotas q ON r.source = q.source)
+SELECT w.doc_id, w.source, round(t.weight, 6) AS weight, t.copies::BIGINT AS copies FROM words w JOIN taken t ON w.source = t.source AND w.block = t.block
+"""
+
 OP5_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -75,4 +139,4 @@ SELECT page_id, host, path, j.rule,
 FROM judged j LEFT JOIN rules r ON j.rule = r.rule
 """.replace("\\\\", "\\")
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL}
