@@ -1,15 +1,79 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: language, near copies, benchmark passages, source weights, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs. All stages but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate, langid, mixing, simhash, token_output
+from textloom.llm.common import shared_path, table
+
+#: Documents whose predicted language is less certain than this are rejected.
+LEAST_SCORE = 0.5
+#: Entropy of the mix, as a share of that of equal weights.
+MIX_ENTROPY = 0.95
+VOCABULARY = "word_bpe_49k.json"
+END_ID = 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a learned language; und (no text, no letter) and unsure ones go."""
+    model = langid.train(docs)
+    judged = langid.predict(docs, model, lang_out="_lang", score_out="_score")
+    return judged.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: that of the smallest id. Equal rows count once.
+
+    Rows without an id are dropped where their group has a row with one.
+    """
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that repeat no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents so that sources have their target weights; every document is read at least once."""
+    return mixing.mix_rows(docs, mixing.word_count(F.col("text")), target_entropy=MIX_ENTROPY, budget="cover")
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token ids in doc_id order; one row a document as read back from the files."""
+    path = token_output.write_token_ids(docs, shared_path(spark, "token-ids"), public_tokenizers.path(VOCABULARY), END_ID)
+    return token_output.read_token_ids(spark, path, content="crc")
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing to target weights", source_weights),
+    ("token-ID output", token_files),
+]
 
-STAGES: list = []
+#: Support vector machines and token ids can't be expressed in SQL; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = shared_path(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 from textloom.llm.decontaminate import matches
 from textloom.llm.langid import identify
+from textloom.llm.license_scan import scan_licenses
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.mixing import plan, with_copies, word_count
+from textloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measures
 from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_count import token_counts
 from textloom.llm.token_output import read_token_ids, write_token_ids
@@ -55,6 +57,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(common.table(spark, sf_dir, "documents"))
+    named = F.filter("notices", lambda n: n["confirmed"])
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("notices").cast("long").alias("n_anchored"),
+        F.size(named).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(named, lambda n: n["family"]))), ",").alias("families"),
+        F.round(F.array_max(F.transform(named, lambda n: n["probability"])), 4).alias("probability"),
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = common.materialize(measures(common.table(spark, sf_dir, "documents"), stratum_col="lang"), "measures")
+    judged = apply_cutoffs(measured, choose_cutoffs(measured, common.table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_ids(common.table(spark, sf_dir, "documents"), common.shared_path(spark, "token-ids"), public_tokenizers.path(VOCABULARY))
     return read_token_ids(spark, path, content="crc")
@@ -68,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_output": op10_token_output,
 }
 OP1_SQL = r"""
