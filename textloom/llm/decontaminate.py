@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,8 +218,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _flag(index: Index, similarity: float):
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: bool(index.search(t, similarity))).astype(bool)
 
