@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.services import external, remove_language, stop_word_language
-from textloom.operators import report
+from textloom.functions import html
+from textloom.operators import chapters, report
 from textloom.plans import crawl
-from textloom.sources import containers, images
+from textloom.sources import containers, http, images
 from textloom.sources.lines import read_texts, write_texts
 from textloom.streaming import poll
 
@@ -39,7 +40,7 @@ def test_epub_round_trip(spark, tmp_path):
     assert containers.save_files(out, "name") == 1
     files = containers.read_files(spark, str(tmp_path), "*.epub")
     toc = containers.epub_toc(files).orderBy("pos").collect()
-    assert [(r.title, r.href) for r in toc] == [("A", "chap_1.xhtml"), ("B & C", "chap_2.xhtml")]
+    assert [(r.title, r.href) for r in toc] == [("A", "chap_0.xhtml"), ("B & C", "chap_1.xhtml")]
     items, spine = containers.epub_items(files), containers.epub_spine(files)
     read = spine.join(items, ["path", "item_id"]).where("media_type = 'application/xhtml+xml'").withColumn("html", F.col("content").cast("string"))
     counted = report.chapter_counts(read, "pos", by=["path"])
@@ -94,3 +95,37 @@ def test_services(spark):
         raise RuntimeError(t)
 
     assert df.select(external(broken)(F.col("t"))).first()[0].startswith("The cat")
+
+
+def test_document_to_book(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    para = lambda style, inner: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{inner}</w:p>'
+    text = lambda t, flags="": f"<w:r><w:rPr>{flags}</w:rPr><w:t>{t}</w:t></w:r>"
+    body = para("Normal", text("front")) + para("Heading 1", text("One")) + para("Normal", "") + para("Normal", text("a &lt;", "<w:b/>") + '<w:hyperlink r:id="r9">' + text("link") + "</w:hyperlink>")
+    body += para("Normal", '<w:r><a:blip r:embed="r2"/></w:r>') + para("Normal", "") + "<w:tbl><w:tr><w:tc>" + para("Normal", text("cell")) + "</w:tc></w:tr></w:tbl>" + para("Heading 1", text("Empty")) + para("heading 10", text("Last")) + para("List Bullet", text("x"))
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r2" Target="media/i.jpeg"/></Relationships>'
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", rels)
+        z.writestr("word/media/i.jpeg", b"pixels")
+    files = containers.read_files(spark, str(tmp_path), "*.docx")
+    out = chapters.book(containers.docx_blocks(files), containers.docx_properties(files)).orderBy("chap_id").collect()
+    assert [(r.chap_id, r.title) for r in out] == [(0, "Front Matter"), (1, "One"), (2, "Last")]
+    name = out[1].images[0].name
+    assert out[1].html == f'<h1>One</h1>\n<p><b>a &lt;</b><a href="#">link</a></p>\n<p><img src="images/{name}" alt="image" style="max-width:100%; height:auto;" /></p>\n<p></p>\n{html.TABLE_TAG}<tr>{html.CELL_TAG}cell</td></tr></table>'
+    assert out[2].html == "<h1>Last</h1><li>x</li>" and out[0].book_title == "Untitled Book"
+    books = containers.to_epub(chapters.book(containers.docx_blocks(files), containers.docx_properties(files)), "path").withColumnRenamed("path", "p").withColumn("path", F.lit("b"))
+    items = {r.href: r.media_type for r in containers.epub_items(books).collect()}
+    assert items[f"images/{name}"] == "image/jpeg" and "chap_2.xhtml" in items
+
+
+def test_fetch(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"centers": []}')
+    urls = [f"file://{tmp_path}/a.json", f"file://{tmp_path}/missing.json"]
+    rows = {r.url: r for r in http.fetch_pages(spark, urls, slices=2).collect()}
+    assert bytes(rows[urls[0]].content) == b'{"centers": []}' and rows[urls[1]].content is None and rows[urls[1]].error
+    assert http.fetch_snapshots(spark, urls, poll.CENTERS).count() == 2
+    (tmp_path / "c.json").write_text('{\n"pincode": "1",\n"age_limit": 18}')
+    assert http.read_config(spark, f"file://{tmp_path}/c.json", http.POLL_CONFIG) == {"pincode": "1", "age_limit": 18, "check_interval_minutes": None}

@@ -47,14 +47,20 @@ def inject(html: Column, label: Column) -> Column:
     return F.replace(titled, F.lit("<body>\n    <h1>"), F.concat(F.lit("<body><h1>"), label, F.lit(": ")))
 
 
+def inject_heading(html: Column, title: Column) -> Column:
+    """A first heading at the body's start, where the tag stands literally."""
+    return F.replace(html, F.lit("<body>"), F.concat(F.lit("<body><h1>"), title, F.lit("</h1>")))
+
+
 def drop_trailer(html: Column) -> Column:
     """Without the dashed trailer before the body's end."""
     return F.regexp_replace(html, r"(?s)(<p>-----).*?(----</p></body>)", "</body>")
 
 
 def minify(html: Column) -> Column:
-    """Line feeds and blanks between tags removed, runs of blanks made one."""
-    return strip(F.regexp_replace(F.regexp_replace(html, r"(?U)>\s+<", "><"), r"(?U)\s{2,}", " "))
+    """Comments and blanks between tags removed, runs of blanks made one."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return strip(F.regexp_replace(F.regexp_replace(bare, r"(?U)>\s+<", "><"), r"(?U)\s{2,}", " "))
 
 
 def format_run(text: Column, bold: Column, italic: Column, underline: Column) -> Column:
@@ -70,17 +76,32 @@ def link(text: Column, url: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit('<a href="'), F.coalesce(url, F.lit("#")), F.lit('">'), text, F.lit("</a>"))).otherwise(F.lit(""))
 
 
-def block(style: Column, html: Column) -> Column:
-    """h1, h2, li or p by the paragraph's style; blank content gives the empty text."""
+def spans(c: Column) -> Column:
+    """HTML of spans {href, runs}: runs formatted, an image in place of its run's text, links around their runs."""
+    run = lambda r: F.when(r["image"].isNotNull(), F.concat(F.lit('<img src="images/'), r["image"], F.lit('" alt="image" style="max-width:100%; height:auto;" />'))).otherwise(format_run(r["text"], r["bold"], r["italic"], r["underline"]))
+    inner = F.transform(c, lambda s: F.struct(s["href"].alias("href"), F.array_join(F.transform(s["runs"], run), "").alias("html")))
+    return F.array_join(F.transform(inner, lambda s: F.when(s["href"].isNull(), s["html"]).otherwise(link(s["html"], s["href"]))), "")
+
+
+def block(style: Column, html: Column, has_images: Column | None = None) -> Column:
+    """h1, h2, li or p by the paragraph's style; blank content gives the empty text unless the chapter has had an image."""
     low = F.lower(F.coalesce(style, F.lit("")))
     wrap = lambda tag: F.concat(F.lit(f"<{tag}>"), html, F.lit(f"</{tag}>"))
-    return F.when(strip(html) == "", F.lit("")).when(F.contains(low, F.lit("heading 1")), wrap("h1")).when(F.contains(low, F.lit("heading 2")), wrap("h2")).when(F.contains(low, F.lit("list")), wrap("li")).otherwise(wrap("p"))
+    blank = strip(html) == ""
+    if has_images is not None:
+        blank = blank & ~has_images
+    return F.when(blank, F.lit("")).when(F.contains(low, F.lit("heading 1")), wrap("h1")).when(F.contains(low, F.lit("heading 2")), wrap("h2")).when(F.contains(low, F.lit("list")), wrap("li")).otherwise(wrap("p"))
+
+
+#: How a table and its cells are opened.
+TABLE_TAG = '<table border="1" style="border-collapse: collapse; width: 100%; margin: 10px 0;">'
+CELL_TAG = "<td style='padding:5px; border:1px solid #ccc;'>"
 
 
-def table(rows: Column) -> Column:
-    """Rows of cell texts (array<array<string>>) as a table element; cells are escaped."""
-    cells = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda x: F.concat(F.lit("<td>"), html_escape(x), F.lit("</td>"))), ""), F.lit("</tr>")))
-    return F.concat(F.lit("<table>"), F.array_join(cells, ""), F.lit("</table>"))
+def table(rows: Column, cell: Callable[[Column], Column] = html_escape) -> Column:
+    """Rows of cells (array<array<...>>) as a table element; cell makes a cell's HTML."""
+    cells = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda x: F.concat(F.lit(CELL_TAG), cell(x), F.lit("</td>"))), ""), F.lit("</tr>")))
+    return F.concat(F.lit(TABLE_TAG), F.array_join(cells, ""), F.lit("</table>"))
 
 
 def rewrite_text_nodes(html: Column, rewrite: Callable[[Column], Column], skip_code: bool = True) -> Column:

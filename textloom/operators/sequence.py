@@ -82,6 +82,16 @@ def merge_repeated_headings(rows: DataFrame, is_heading: Column, text: str = "te
     return rows.where(~F.coalesce(is_heading, F.lit(False))).unionByName(heads)
 
 
+def merge_report(rows: DataFrame, is_heading: Column, text: str = "text", doc: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """doc, removed, text: the report on merge_repeated_headings, for every document with a heading."""
+    heads = rows.where(is_heading).select(doc, pos, strip(F.col(text)).alias("_old"), clean_chapter_title(F.col(text)).alias("_new"))
+    heads = heads.withColumn("_gone", F.coalesce(F.lag("_new").over(_order(doc, pos)) == F.col("_new"), F.lit(False)))
+    line = F.concat(F.lit("Merged: '"), "_old", F.lit("' -> into -> '"), "_new", F.lit("'\n"))
+    lines = F.array_sort(F.collect_list(F.when(F.col("_gone"), F.struct(F.col(pos).alias("p"), line.alias("l")))))
+    head = F.concat(F.lit("Merge Report\n" + "=" * 20 + "\nTotal redundant headers removed: "), F.count_if("_gone").cast("string"), F.lit("\n\n"))
+    return heads.groupBy(doc).agg(F.count_if("_gone").alias("removed"), F.concat(head, F.array_join(F.transform(lines, lambda s: s["l"]), "")).alias("text"))
+
+
 def join_until_terminator(rows: DataFrame, is_heading: Column, text: str = "text", doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """doc, pos, is_heading, text: lines joined without a separator up to a terminator; headings stand alone, blank rows go.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import html, numbers, punctuation, strings
 from textloom.operators import joins, report, runs, sequence
-from textloom.operators.glossary_replace import glossary_hits, glossary_replace
+from textloom.operators.glossary_replace import glossary_hits, glossary_replace, glossary_replace_runs
 from textloom.plans import crawl
 from textloom.sources import glossary
 from textloom.sources.lines import to_lines
@@ -238,6 +238,13 @@ def join_until_terminator(spark, sf_dir):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(_golden("removed, text", [(1, "Merge Report\n====================\nTotal redundant headers removed: 1\n\nMerged: 'C1 [2/2]' -> into -> 'C1'\n")]))
+def merge_report(spark, sf_dir):
+    rows = [(1, 0, "Heading 1", "C1 (1/2)"), (1, 1, "Normal", "b1"), (1, 2, "Heading 1", "C1 [2/2]"), (1, 3, "Heading 1", "C2")]
+    df = _values(spark, rows, "doc_id long, pos long, style string, text string")
+    return sequence.merge_report(df, sequence.heading_1(F.col("style"))).select("removed", "text")
+
+
 @query(_golden("pos, is_heading, text", [(0, False, "abcd."), (2, True, "H"), (3, False, "ef")]))
 def join_with_headings(spark, sf_dir):
     df = _values(spark, [(1, 0, "Normal", "ab"), (1, 1, "Normal", "cd."), (1, 2, "Heading 2", "H"), (1, 3, "Normal", " ef "), (1, 4, "Normal", " ")], "doc_id long, pos long, style string, text string")
@@ -305,6 +312,13 @@ def fragments(spark, sf_dir):
     return df.select("id", F.posexplode(html.fragments(F.col("t"))).alias("n", "fragment")).withColumn("n", F.col("n").cast("long"))
 
 
+@query(_golden("part, html", [("inject", "<title>L: t</title><body><h1>L: x"), ("heading", "<body><h1>L</h1>x"), ("trailer", "<p>a</p></body>"), ("minify", "<p>a b</p><p>c</p>")]))
+def page_edits(spark, sf_dir):
+    df = _values(spark, [("inject", "<title>t</title><body>\n    <h1>x"), ("heading", "<body>x"), ("trailer", "<p>a</p><p>----- x\n y ----</p></body>"), ("minify", " <p>a  b</p>\n<!-- c -->\n<p>c</p> ")], "part string, h string")
+    h, label = F.col("h"), F.lit("L")
+    return df.select("part", F.when(F.col("part") == "inject", html.inject(h, label)).when(F.col("part") == "heading", html.inject_heading(h, label)).when(F.col("part") == "trailer", html.drop_trailer(h)).otherwise(html.minify(h)).alias("html"))
+
+
 # ---- glossaries
 
 _ALTERNATION = "then|tion|the|and|ing"
@@ -329,6 +343,14 @@ def glossary_golden(spark, sf_dir):
     return df.select("id", F.when(F.col("id") == 3, glossary_replace(F.lit("abc"), {"ab": "X"})).otherwise(glossary_replace(F.col("t"), g)).alias("text"), F.when(F.col("id") == 3, glossary_hits(F.lit("abc"), {"ab": "X"})).otherwise(glossary_hits(F.col("t"), g)).alias("hits"))
 
 
+@query(_golden("id, runs", [(1, "x :i| X :b| Z:i"), (2, "none:b|!:b"), (3, "")]))
+def glossary_in_runs(spark, sf_dir):
+    rows = [(1, [("x ", "i"), ("a", "b"), ("b", "i"), (" Z", "i")]), (2, [("none", "b"), ("!", "b")]), (3, [])]
+    df = _values(spark, rows, "id long, r array<struct<text:string,style:string>>")
+    out = glossary_replace_runs(F.col("r"), {"ab": "X"})
+    return df.select("id", F.array_join(F.transform(out, lambda s: F.concat(s["text"], F.lit(":"), s["style"])), "|").alias("runs"))
+
+
 _GLOSSARY_LINES = [(0, "﻿k = 1"), (1, "# c=1"), (2, ""), (3, "k=2"), (4, "no pair"), (5, " a = b = c "), (6, " = x"), (7, "z=")]
 
 
@@ -500,7 +522,7 @@ def text_wrap(spark, sf_dir):
     return df.select("t", strings.wrap_words(F.col("t")).alias("out"))
 
 
-@query(_golden("id, html", [(1, "<u><i><b>t</b></i></u>"), (2, "&lt;a&amp;b&gt;"), (3, '<a href="#">x</a>'), (4, "<h1>T</h1>"), (5, "<li>q</li>"), (6, "<table><tr><td>a</td><td>&lt;</td></tr></table>")]))
+@query(_golden("id, html", [(1, "<u><i><b>t</b></i></u>"), (2, "&lt;a&amp;b&gt;"), (3, '<a href="#">x</a>'), (4, "<h1>T</h1>"), (5, "<li>q</li>"), (6, f"{html.TABLE_TAG}<tr>{html.CELL_TAG}a</td>{html.CELL_TAG}&lt;</td></tr></table>")]))
 def html_builders(spark, sf_dir):
     yes, none = F.lit(True), F.lit(None).cast("boolean")
     out = (F.when(F.col("id") == 1, html.format_run(F.lit("t"), yes, yes, yes)).when(F.col("id") == 2, html.format_run(F.lit("<a&b>"), none, none, F.lit(False))).when(F.col("id") == 3, html.link(F.lit("x"), F.lit(None).cast("string")))

@@ -28,7 +28,8 @@ CONTAINER = "{urn:oasis:names:tc:opendocument:xmlns:container}"
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,style:string,font_name:string,font_size:double,font_color:string>"
 PARAGRAPHS = f"path string, pos long, origin string, style string, text string, runs array<{RUN}>"
-BLOCKS = f"path string, pos long, kind string, style string, runs array<{RUN}>, rows array<array<string>>, images array<struct<name:string,mime:string,content:binary>>"
+SPANS = "array<struct<href:string,runs:array<struct<text:string,bold:boolean,italic:boolean,underline:boolean,image:string>>>>"
+BLOCKS = f"path string, pos long, kind string, style string, text string, spans {SPANS}, rows array<array<{SPANS}>>, images array<struct<name:string,mime:string,content:binary>>"
 PROPERTIES = "path string, title string, author string"
 ITEMS = "path string, item_id string, href string, media_type string, content binary"
 SPINE = "path string, pos long, item_id string"
@@ -46,7 +47,7 @@ def read_files(spark: SparkSession, path: str, pattern: str, recursive: bool = F
 
 
 def _map(files: DataFrame, rows_of, schema: str) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,9 +123,11 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
-    """path, pos, kind (p or tbl), style, runs, rows, images: the body's blocks in true order.
+    """path, pos, kind (p or tbl), style, text, spans, rows, images: the body's blocks in true order.
 
-    An image is the first of its run; its name is made from its content, so that it is the same every time.
+    A span is a plain stretch of runs (href null) or a hyperlink (# where its target is
+    missing). rows holds a table's cells as spans. A run's first image stands for the run; its
+    name is made from its content, so that it is the same every time.
     """
 
     def rows(z: zipfile.ZipFile) -> list[tuple]:
@@ -132,21 +135,36 @@ def docx_blocks(files: DataFrame) -> DataFrame:
         targets = {}
         if "word/_rels/document.xml.rels" in z.namelist():
             targets = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+        images: list[dict] = []
+
+        def span_run(r: ET.Element) -> dict:
+            run = {k: v for k, v in _run(r).items() if k in ("text", "bold", "italic", "underline")} | {"image": None}
+            blip = next(r.iter(f"{A}blip"), None)
+            if blip is not None and (target := targets.get(blip.get(f"{R}embed"))):
+                data = z.read(posixpath.normpath(posixpath.join("word", target)))
+                kind = target.rpartition(".")[2].lower().replace("jpeg", "jpg")
+                run["image"] = f"image_{hashlib.sha256(data).hexdigest()[:8]}.{kind}"
+                images.append({"name": run["image"], "mime": f"image/{kind.replace('jpg', 'jpeg')}", "content": data})
+            return run
+
+        def spans(p: ET.Element) -> list[dict]:
+            out = []
+            for child in p:
+                if child.tag == f"{W}r":
+                    out.append({"href": None, "runs": [span_run(child)]})
+                elif child.tag == f"{W}hyperlink":
+                    out.append({"href": targets.get(child.get(f"{R}id"), "#"), "runs": [span_run(r) for r in child.findall(f"{W}r")]})
+            return out
+
         out = []
         for pos, e in enumerate(x for x in body if x.tag in (f"{W}p", f"{W}tbl")):
-            if e.tag == f"{W}tbl":
-                cells = [["\n".join("".join(t.text or "" for t in p.iter(f"{W}t")) for p in c.findall(f"{W}p")) for c in r.findall(f"{W}tc")] for r in e.findall(f"{W}tr")]
-                out.append((pos, "tbl", None, [], cells, []))
-                continue
-            style, _, runs = _paragraph(e, styles)
             images = []
-            for r in e.iter(f"{W}r"):
-                blip = next(r.iter(f"{A}blip"), None)
-                if blip is not None and (target := targets.get(blip.get(f"{R}embed"))):
-                    data = z.read(posixpath.normpath(posixpath.join("word", target)))
-                    kind = target.rpartition(".")[2].lower().replace("jpeg", "jpg")
-                    images.append({"name": f"image_{hashlib.sha256(data).hexdigest()[:8]}.{kind}", "mime": f"image/{kind.replace('jpg', 'jpeg')}", "content": data})
-            out.append((pos, "p", style, runs, [], images))
+            if e.tag == f"{W}tbl":
+                cells = [[[s for p in c.findall(f"{W}p") for s in spans(p)] for c in r.findall(f"{W}tc")] for r in e.findall(f"{W}tr")]
+                out.append((pos, "tbl", None, "", [], cells, images))
+            else:
+                style, text, _ = _paragraph(e, styles)
+                out.append((pos, "p", style, text, spans(e), [], images))
         return out
 
     return _map(files, rows, BLOCKS)
@@ -256,11 +274,17 @@ def to_docx(paragraphs: DataFrame, keys: list[str], pos: str = "pos") -> DataFra
     return paragraphs.groupBy(*keys).applyInPandas(build, schema)
 
 
-def build_epub(title: str, author: str, chapters: list[tuple[str, str]], css: str = "") -> bytes:
-    """A book of (title, XHTML body) chapters with manifest, spine, NCX and navigation document."""
-    names = [f"chap_{i + 1}.xhtml" for i in range(len(chapters))]
+#: The style sheet of a built book.
+CSS = "body { font-family: serif; } h1 { text-align: center; } a { color: #0000EE; }"
+
+
+def build_epub(title: str, author: str, chapters: list[tuple[str, str]], images: list[tuple[str, str, bytes]] = (), css: str = CSS) -> bytes:
+    """A book of (title, XHTML body) chapters with manifest, spine, NCX and navigation document; of images with one name the first counts."""
+    names = [f"chap_{i}.xhtml" for i in range(len(chapters))]
+    pictures = {name: (mime, data) for name, mime, data in reversed(images)}
     page = lambda t, b: f'<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(t)}</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>{b}</body></html>'
     manifest = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
+    manifest += "".join(f'<item id="img{i}" href="images/{n}" media-type="{mime}"/>' for i, (n, (mime, _)) in enumerate(sorted(pictures.items())))
     spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(names)))
     opf = f'<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{hashlib.sha256((title + author).encode()).hexdigest()[:32]}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="style.css" media-type="text/css"/>{manifest}</manifest><spine toc="ncx"><itemref idref="nav"/>{spine}</spine></package>'
     points = "".join(f'<navPoint id="n{i}" playOrder="{i + 1}"><navLabel><text>{escape(t)}</text></navLabel><content src="{n}"/></navPoint>' for i, ((t, _), n) in enumerate(zip(chapters, names, strict=True)))
@@ -268,16 +292,18 @@ def build_epub(title: str, author: str, chapters: list[tuple[str, str]], css: st
     nav = page(title, '<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>' + "".join(f'<li><a href="{n}">{escape(t)}</a></li>' for (t, _), n in zip(chapters, names, strict=True)) + "</ol></nav>")
     container = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     files = [("mimetype", b"application/epub+zip", False), ("META-INF/container.xml", container.encode(), True), ("EPUB/content.opf", opf.encode(), True), ("EPUB/toc.ncx", ncx.encode(), True), ("EPUB/nav.xhtml", nav.encode(), True), ("EPUB/style.css", css.encode(), True)]
-    return _zip([*files, *((f"EPUB/{n}", page(t, b).encode(), True) for (t, b), n in zip(chapters, names, strict=True))])
+    stored = [(f"EPUB/images/{n}", bytes(data), False) for n, (_, data) in sorted(pictures.items())]
+    return _zip([*files, *((f"EPUB/{n}", page(t, b).encode(), True) for (t, b), n in zip(chapters, names, strict=True)), *stored])
 
 
 def to_epub(chapters: DataFrame, book: str = "book_id", order: str = "chap_id") -> DataFrame:
-    """book, content: one e-book a group of chapters; columns book_title, author, title and html are its parts."""
+    """book, content: one e-book a group of chapters; book_title, author, title, html and, if there, images are its parts."""
     kind = chapters.select(book).dtypes[0][1]
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(order)
-        data = build_epub(g["book_title"].iloc[0] or NO_TITLE, g["author"].iloc[0] or NO_AUTHOR, list(zip(g["title"], g["html"], strict=True)))
+        images = [(i["name"], i["mime"], i["content"]) for own in g["images"] for i in own] if "images" in g.columns else []
+        data = build_epub(g["book_title"].iloc[0] or NO_TITLE, g["author"].iloc[0] or NO_AUTHOR, list(zip(g["title"], g["html"], strict=True)), images)
         return pd.DataFrame([[g[book].iloc[0], data]], columns=[book, "content"])
 
     return chapters.groupBy(book).applyInPandas(build, f"{book} {kind}, content binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,11 +31,11 @@ def read_pgm(files: DataFrame) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def pixels(content: pd.Series) -> pd.Series:
         def one(data: bytes):
-            parts = bytes(data or b"").split(None, 4)
-            if len(parts) < 5 or parts[0] != b"P5":
+            head = re.match(rb"P5\s+(\d+)\s+(\d+)\s+\d+\s", data or b"")
+            if not head:
                 return None
-            width, height = int(parts[1]), int(parts[2])
-            body = bytes(data)[-width * height :]
+            width, height = int(head[1]), int(head[2])
+            body = bytes(data)[head.end() : head.end() + width * height]
             return [[float(v) for v in body[y * width : (y + 1) * width]] for y in range(height)]
 
         return pd.Series([one(c) for c in content], dtype=object)

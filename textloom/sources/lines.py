@@ -24,5 +24,5 @@ def to_text(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",), pos: str = "p
 
 
 def write_texts(texts: DataFrame, path: str, key: str = "doc_id") -> None:
-    """One folder a document, by its key; each holds the whole text."""
-    texts.select(key, F.col("text").alias("value")).write.partitionBy(key).option("lineSep", "").text(path)
+    """One folder a document, by its key; each holds the whole text, ended by a line feed."""
+    texts.select(key, F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy(key).text(path)
