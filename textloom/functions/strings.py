@@ -120,7 +120,7 @@ def chunk_words(c: Column, n: int = 4) -> Column:
 
 
 def wrap_words(c: Column, width: int = 15) -> Column:
-    """Greedy lines of at most width characters, upper case; a longer word is cut to fill the line."""
+    """Greedy lines of at most width characters, upper case; a longer word is cut to fill the line; hyphens are no breaks."""
     parts = F.filter(F.split(strip(F.upper(c)), r"(?U)\s+"), lambda x: x != "")
 
     def add(lines: Column, word: Column) -> Column:

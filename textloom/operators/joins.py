@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.strings import strip_fragment
+from textloom.operators.ranking import global_rank
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_order: list, right_order: list, by: list[str] | None = None) -> DataFrame:
-    """left and right rows of the same rank side by side, up to the shorter; without `by` one global order is asked for."""
-    by = by or []
+    """left and right rows of the same rank side by side, up to the shorter; ranks by `by`, or over whole tables."""
+    if not by:
+        return global_rank(left, left_order).join(global_rank(right, right_order), "rn")
     a = left.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*left_order)))
     b = right.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*right_order)))
     return a.join(b, [*by, "rn"])

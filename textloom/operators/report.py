@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.html import strip_html
+from textloom.operators.ranking import global_rank
 
 NUMBER_WIDTH, NAME_WIDTH, COUNT_WIDTH = 10, 60, 20
 
 
 def chapter_counts(items: DataFrame, order: str, html: str = "html", by: list[str] | None = None) -> DataFrame:
-    """items with number and char_count (characters of the text without markup)."""
-    rank = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
-    return items.withColumn("char_count", F.length(strip_html(F.col(html))).cast("long")).withColumn("number", F.row_number().over(rank))
+    """items with number and char_count (characters of the text without markup) in place of the markup; numbers by `by`, or over all."""
+    counted = items.withColumn("char_count", F.length(strip_html(F.col(html))).cast("long")).drop(html)
+    if not by:
+        return global_rank(counted, [order], "number")
+    return counted.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
 
 
 def totals(chapters: DataFrame, by: str) -> DataFrame:

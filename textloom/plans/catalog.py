@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import html, numbers, punctuation, strings
 from textloom.operators import joins, report, runs, sequence
 from textloom.operators.glossary_replace import glossary_hits, glossary_replace, glossary_replace_runs
+from textloom.operators.ranking import global_rank
 from textloom.plans import crawl
 from textloom.sources import glossary
 from textloom.sources.lines import to_lines
@@ -98,9 +99,10 @@ def strip_script_style(spark, sf_dir):
 @query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''),
   nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), ''), 'Chapter ' || row_number() OVER (ORDER BY page_id)) AS title FROM pages""")
 def page_title_h1(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("n", F.row_number().over(Window.orderBy("page_id")))
     title = strings.strip(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    return pages.select("page_id", F.coalesce(F.nullif(html.first_h1(F.col("html")), F.lit("")), F.nullif(title, F.lit("")), F.concat(F.lit("Chapter "), "n")).alias("title"))
+    found = F.coalesce(F.nullif(html.first_h1(F.col("html")), F.lit("")), F.nullif(title, F.lit("")))
+    pages = global_rank(table(spark, sf_dir, "pages").select("page_id", found.alias("found")), ["page_id"], "n")
+    return pages.select("page_id", F.coalesce("found", F.concat(F.lit("Chapter "), "n")).alias("title"))
 
 
 @query("""SELECT page_id, md5(regexp_replace(regexp_extract(html, '(?is)<article>(.*)</article>', 1), '(?is)<a\\b[^>]*>.*?</a>', '', 'g')) AS content_md5 FROM pages""")
@@ -402,9 +404,8 @@ def zip_titles(spark, sf_dir):
 
 @query("""SELECT c_custkey, regexp_extract(c_name, '(\\d+)$', 1)::BIGINT AS number, row_number() OVER (ORDER BY regexp_extract(c_name, '(\\d+)$', 1)::BIGINT, c_name) AS rank FROM customer""")
 def natural_sort_files(spark, sf_dir):
-    named = table(spark, sf_dir, "customer").withColumn("number", strings.last_number(F.col("c_name")))
-    rank = F.row_number().over(Window.orderBy(*joins.natural_order(F.col("c_name"), F.col("number"))))
-    return named.select("c_custkey", "number", rank.cast("long").alias("rank"))
+    named = table(spark, sf_dir, "customer").select("c_custkey", "c_name", strings.last_number(F.col("c_name")).alias("number"))
+    return global_rank(named, joins.natural_order(F.col("c_name"), F.col("number")), "rank").select("c_custkey", "number", "rank")
 
 
 @query("""SELECT s.o_custkey AS book_id, s.o_orderkey AS item_id, row_number() OVER (PARTITION BY s.o_custkey ORDER BY s.o_orderkey) AS number

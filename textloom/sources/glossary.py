@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.strings import strip
+from textloom.operators.ranking import global_rank
 
 
 def _pair(line: Column) -> tuple[Column, Column]:
@@ -39,8 +40,8 @@ def merge(glossaries: DataFrame) -> DataFrame:
 
 
 def ranked(merged: DataFrame) -> DataFrame:
-    """merged with rank: longer keys first, then in the order read. One sorted sequence is the result's nature; glossaries are small."""
-    return merged.withColumn("rank", F.row_number().over(Window.orderBy(F.length("k").desc(), "file_ord", "line_no")))
+    """merged with rank: longer keys first, then in the order read."""
+    return global_rank(merged, [F.length("k").desc(), F.col("file_ord"), F.col("line_no")], "rank")
 
 
 def conflicts(glossaries: DataFrame, faithful: bool = True) -> DataFrame:
@@ -50,10 +51,11 @@ def conflicts(glossaries: DataFrame, faithful: bool = True) -> DataFrame:
     The winner comes from a pre-aggregated minimum joined back, not from a window over the key.
     """
     won = merge(glossaries).select("k", F.col("v").alias("_won"), F.col("file_ord").alias("_own"))
-    first = glossaries.agg(F.min("file_ord").alias("_first"))
+    first = glossaries.agg(F.min("file_ord")).first()[0]
     rows = glossaries.join(won, "k").where("v <> _won")
-    winners = rows.select("k", "_won", "_own").distinct().crossJoin(F.broadcast(first))
-    return rows.select("k", "file_ord", "v").unionByName(winners.select("k", F.col("_first" if faithful else "_own").alias("file_ord"), F.col("_won").alias("v")))
+    filed = F.lit(first) if faithful else F.col("_own")
+    winners = rows.select("k", "_won", "_own").distinct().select("k", filed.alias("file_ord"), F.col("_won").alias("v"))
+    return rows.select("k", "file_ord", "v").unionByName(winners)
 
 
 def conflict_maps(glossaries: DataFrame, faithful: bool = True) -> DataFrame:
