@@ -158,20 +158,32 @@ def page_labels(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", strings.filename_to_label(name).alias("label"), strings.nav_label(F.col("page_id"), F.replace(name, F.lit("_"), F.lit(" "))).alias("nav"), strings.ncx_label(F.col("page_id"), F.replace(name, F.lit("_"), F.lit(" "))).alias("ncx"))
 
 
+_SITE_PAGES = [
+    ("royalroad", "http://r/1", '<title> One </title><div class="chapter-inner chapter-content"><p>a</p><a href="q">ad</a><div>b</div></div><a class="btn btn-primary col-xs-12" href="/1">Previous</a><a class="btn btn-primary col-xs-12" href="/2">Next Chapter</a>'),
+    ("readnovelfull", "http://r/1", '<a class="chr-title" title="T1">other</a><div id="chr-content">x</div><a id="next_chap" href="/n">n</a>'),
+    ("biquge", "http://r/1", '<h1>site</h1><div class="book"><h1>B</h1></div><div id="chaptercontent">y</div><a id="next_url" href="/b/c/2">n</a>'),
+    ("tongrenquan", "http://r/7.html", '<h1>C</h1><div class="read_chapterDetail">z</div>'),
+    ("bixiange", "http://r/7.html", '<h1>C</h1><div class="content">z</div><a href="/1">下一页</a><div class="mPage"><a href="/9">下一页</a></div>'),
+    ("tracan", "http://r/1", '<title>D</title><a href="/y">Next</a><div class="entry-content">e Partager f<a href="/z">Next</a></div>'),
+    ("xszj", "http://r/1", '<title>X</title><h1 class="bookname">K</h1><div id="booktxt">t</div><a rel="prev" href="/b/0">p</a><a rel="prev" href="/b/2">q</a>'),
+    ("shuhaige", "http://r/1", '<title>S</title><a id="pager_next" href="/shu_1">n</a>'),
+    ("elsewhere", "http://r/1", "<title>X</title>"),
+]
+
+
 @query(_golden("site, title, content, next_url", [
-    ("royalroad", "One", "<h1>One</h1><p>a</p><div>b</div>", "http://r/2"), ("readnovelfull", "T1", "<h1>T1</h1>x", "http://r/n"), ("biquge", "B", "<h1>B</h1>y", "http://r/b/c/2"),
-    ("tongrenquan", "C", "<h1>C</h1>z", "http://r/8.html"), ("tracan", "D", "<h1>D</h1>e ", "/z"), ("shuhaige", "S", None, None), ("elsewhere", None, None, None)]))
+    ("royalroad", "One", '<h1>One</h1><div class="chapter-inner chapter-content"><p>a</p><div>b</div></div>', "http://r/2"),
+    ("readnovelfull", "T1", '<h1>T1</h1><div id="chr-content">x</div>', "http://r/n"),
+    ("biquge", "B", '<h1>B</h1><div id="chaptercontent">y</div>', "http://r/b/c/2"),
+    ("tongrenquan", "C", '<h1>C</h1><div class="read_chapterDetail">z</div>', "http://r/8.html"),
+    ("bixiange", "C", '<h1>C</h1><div class="content">z</div>', "http://r/9"),
+    ("tracan", "D", '<h1>D</h1><div class="entry-content">e ', "/z"),
+    ("xszj", "K", '<h1>K</h1><div id="booktxt">t</div>', "http://r/b/2"),
+    ("shuhaige", "S", None, None),
+    ("elsewhere", None, None, None),
+]))
 def site_extraction(spark, sf_dir):
-    rows = [
-        ("royalroad", "http://r/1", '<title> One </title><div class="chapter-inner chapter-content"><p>a</p><a href="q">ad</a><div>b</div></div><a class="btn btn-primary col-xs-12" href="/1">Previous</a><a class="btn btn-primary col-xs-12" href="/2">Next Chapter</a>'),
-        ("readnovelfull", "http://r/1", '<a class="chr-title" title="T1">T1</a><div id="chr-content">x</div><a id="next_chap" href="/n">n</a>'),
-        ("biquge", "http://r/1", '<h1>B</h1><div id="chaptercontent">y</div><a id="next_url" href="/b/c/2">n</a>'),
-        ("tongrenquan", "http://r/7.html", '<h1>C</h1><div class="read_chapterDetail">z</div>'),
-        ("tracan", "http://r/1", '<title>D</title><div class="entry-content">e Partager f</div><a href="/z">Next</a>'),
-        ("shuhaige", "http://r/1", '<title>S</title><a id="pager_next" href="/shu_1">n</a>'),
-        ("elsewhere", "http://r/1", "<title>X</title>"),
-    ]
-    pages = _values(spark, [(*r, "http://r") for r in rows], "site string, url string, html string, root string")
+    pages = _values(spark, [(*r, "http://r") for r in _SITE_PAGES], "site string, url string, html string, root string")
     return crawl.extract(pages).select("site", "title", "content", "next_url")
 
 
