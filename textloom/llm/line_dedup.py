@@ -42,9 +42,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     removed_lines holds their 0-based numbers in order.
 
     Repeated windows are found by one aggregation with partial minima, written to the shared
-    folder and joined back to the windows; both sides of the join are plain exchanges, so the
-    engine splits a window that a third of all documents share, or broadcasts the table if its
-    measured size is small. Texts are never collected together: only positions are, by document.
+    folder and merge-joined back to the windows; both sides of the join are plain exchanges, so
+    the engine splits a window that a third of all documents share. Joins don't turn into
+    broadcasts on small tables: the plan is the same at every size. Texts are never collected together: only positions are, by document.
 
     Null text: null clean_text, 0 lines. Texts of fewer than three worded lines stay. Rows that
     repeat both id and text count as one document and get the same result. An empty table
@@ -55,10 +55,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = cut.select("doc_id", "_th", "_win.w", "_win.h1", "_win.h2")
     place = F.struct("doc_id", "_th", "w")
     repeated = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"), "repeated-windows")
-    later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = materialize(later.groupBy("doc_id", "_th").agg(F.collect_set("w").alias("_covered")), "covered-lines")
     covered = covered.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_cth"), "_covered")
-    joined = base.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_cth")), "left").drop("_id", "_cth", "_th")
+    joined = base.join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_cth")), "left").drop("_id", "_cth", "_th")
     joined = joined.withColumn("_all", F.when(F.col("_covered").isNotNull(), _lines(F.col("_text")))).withColumn("_worded", F.when(F.col("_covered").isNotNull(), _worded(F.col("_all"))))
     ordinals = F.array_sort(F.array_distinct(F.flatten(F.transform("_covered", lambda w: F.sequence(w, w + WINDOW - 1)))))
     joined = joined.withColumn("removed_lines", F.coalesce(F.transform(ordinals, lambda o: F.get("_worded", o)["at"]), F.array().cast("array<int>")))
