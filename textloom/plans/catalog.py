@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import html, numbers, punctuation, strings
+from textloom.functions import html, numbers, punctuation, services, strings
 from textloom.operators import joins, report, runs, sequence
 from textloom.operators.glossary_replace import glossary_hits, glossary_replace, glossary_replace_runs
 from textloom.operators.ranking import global_rank
 from textloom.plans import crawl
-from textloom.sources import glossary
+from textloom.sources import glossary, images
 from textloom.sources.lines import to_lines
 from textloom.sources.shared import shared_path
 from textloom.streaming import poll
@@ -578,6 +578,58 @@ def variance_threshold(spark, sf_dir):
     return rows.withColumn("_v", variance).select("vec_id", F.round("_v", 6).alias("variance"), (F.col("_v") < 0.9).alias("low"))
 
 
+@query(_golden("id, bold, name, size, color", [(1, None, "B", 10.0, "red"), (2, True, "A", 12.0, "blue")]))
+def copy_run_format(spark, sf_dir):
+    fields = "bold:boolean,italic:boolean,underline:boolean,strike:boolean,superscript:boolean,subscript:boolean,name:string,size:double,color:string"
+    flags = (None,) * 5
+    df = _values(spark, [(1, (True, *flags, "A", 10.0, "red"), (None, *flags, "B", None, None)), (2, (None, *flags, "A", 10.0, None), (True, *flags, None, 12.0, "blue"))], f"id long, a struct<{fields}>, b struct<{fields}>")
+    return df.withColumn("c", runs.copy_format(F.col("a"), F.col("b"))).select("id", "c.bold", "c.name", "c.size", "c.color")
+
+
+@query(_golden("i, run, pos", [(0, 0, 0), (2, 0, 2), (3, 1, 1), (5, 2, 1), (6, None, None)]))
+def locate_characters(spark, sf_dir):
+    df = _values(spark, [(i, ["ab", "cd", "e"]) for i in (0, 2, 3, 5, 6)], "i int, r array<string>").withColumn("x", runs.locate(F.col("r"), F.col("i")))
+    return df.select(F.col("i").cast("long").alias("i"), F.col("x.run").cast("long").alias("run"), F.col("x.offset").cast("long").alias("pos"))
+
+
+@query(_golden("id, runs", [(1, "new||"), (2, "")]))
+def collapse_heading_runs(spark, sf_dir):
+    df = _values(spark, [(1, ["a", "b", "c"]), (2, [])], "id long, r array<string>")
+    return df.select("id", F.array_join(runs.collapse_to_first(F.col("r"), F.lit("new")), "|").alias("runs"))
+
+
+@query(_golden("name, chapter, not_cover, document", [("chapter_1.xhtml", True, True, False), ("Cover.xhtml", False, False, False), ("a.docx", False, True, True), ("~$a.docx", False, True, False)]))
+def name_filters(spark, sf_dir):
+    name = F.col("name")
+    df = _values(spark, [("chapter_1.xhtml",), ("Cover.xhtml",), ("a.docx",), ("~$a.docx",)], "name string")
+    return df.select("name", F.contains(name, F.lit("chapter")).alias("chapter"), (~F.contains(name, F.lit("Cover.xhtml"))).alias("not_cover"), (F.endswith(name, F.lit(".docx")) & ~F.startswith(name, F.lit("~"))).alias("document"))
+
+
+@query(_golden("day", [("01-03-2024",)]))
+def request_date(spark, sf_dir):
+    return _values(spark, [("2024-02-29 23:30:00",)], "t string").select(F.col("t").cast("timestamp").alias("t")).select(poll.request_date("t").alias("day"))
+
+
+@query(_golden("id, text", [(1, "The cat is on the roof ."), (2, ""), (3, "xyz")]))
+def remove_language_fragments(spark, sf_dir):
+    df = _values(spark, [(1, "The cat is on the roof. Le chat est dans la maison"), (2, ""), (3, "xyz")], "id long, t string")
+    return df.select("id", services.remove_language(F.col("t"), "fr").alias("text"))
+
+
+@query(_golden("id, variance, blurred", [(1, 0.0, True), (2, 1040400.0, False)]))
+def image_blur(spark, sf_dir):
+    board = [[255.0 * ((x + y) % 2) for x in range(4)] for y in range(4)]
+    df = _values(spark, [(1, [[7.0] * 4] * 4), (2, board)], "id long, p array<array<double>>").withColumn("variance", images.laplacian_variance("p"))
+    return df.select("id", F.round("variance", 6).alias("variance"), images.is_blurred(F.col("variance")).alias("blurred"))
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(o_orderkey % 3, 0), 1) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS number, (600 - length(o_orderpriority)) / 2 AS x FROM orders""")
+def counter_numbers(spark, sf_dir):
+    start = F.coalesce(F.nullif(F.col("o_orderkey") % 3, F.lit(0)), F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (start + rank - 1).alias("number"), numbers.centred(F.lit(600), F.length("o_orderpriority")).alias("x"))
+
+
 # ---- nested records, streams, walks
 
 _CENTERS = '{"centers":[{"name":"A","address":"x","sessions":[{"available_capacity":3,"min_age_limit":18,"vaccine":"V"},{"available_capacity":0,"min_age_limit":18,"vaccine":"V"}]},{"name":"B","address":"y","sessions":[{"available_capacity":2,"min_age_limit":45,"vaccine":"W"}]}]}'
