@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +60,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_bytes(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Slices [i, j) of texts whose bytes stay under most, or hold one text."""
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Slices [i, j) of a binary column whose bytes stay under most, or hold one text."""
     i, held = 0, 0
-    for j, t in enumerate(texts):
-        n = len(t or b"")
+    for j, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if j > i and held + n > most:
             yield i, j
             i, held = j, 0

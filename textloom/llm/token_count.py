@@ -42,10 +42,9 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             counts, sizes = [], []
-            for i, j in by_bytes(texts, batch_bytes):
-                raw = [t or b"" for t in texts[i:j]]
+            for i, j in by_bytes(batch.column(1), batch_bytes):
+                raw = [t or b"" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 sizes += map(len, raw)
                 cut = [pieces(t, piece_bytes) for t in raw]
                 if all(len(p) == 1 for p in cut):

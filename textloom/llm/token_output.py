@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,10 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def _kept(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<i4").tobytes()
+    packed = array("i", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -33,9 +38,9 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, batch_b
         encoder = _encoder(tokenizer_path)
         end = b"" if end_id is None else _kept([end_id])
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in by_bytes(texts, batch_bytes):
-                cut = [pieces(t or b"", piece_bytes) for t in texts[i:j]]
+            ids = batch.column(0)
+            for i, j in by_bytes(batch.column(1), batch_bytes):
+                cut = [pieces(t or b"", piece_bytes) for t in batch.column(1).slice(i, j - i).to_pylist()]
                 out = [b"".join([*(encoder.texts([p], b"".join)[0] for p in ps), end]) for ps in cut] if any(len(p) > 1 for p in cut) else [x + end for x in encoder.texts([p[0] for p in cut], b"".join)]
                 sizes = np.fromiter((len(x) // 4 for x in out), np.int32, len(out))
                 offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))

@@ -13,65 +13,84 @@ import os
 import re
 from collections.abc import Callable
 
-#: A word of letters, then ASCII punctuation that can start neither a contraction nor a special token.
+#: Letters (checked against the table of plain ones), then ASCII punctuation that starts neither a contraction nor a special token.
 _CORE = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]*)")
-_LATIN_END = "ɐ"
+_MARKS = b".,!?;:"
+_PLAIN_LETTERS = range(0x41, 0x250)
 
 
 class WordEncoder:
-    """Encodes by words; value turns a word's ids into what is kept for it (bytes, a count, ...)."""
+    """Encodes by words; value turns a word's ids into what is kept for it, and + joins two of these."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], max_words: int = 400_000):
+    def __init__(self, path: str, value: Callable[[list[int]], object], max_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.value, self.max_words = value, max_words
+        # two generations: what the newer one lacks is taken over from the older, so words met once fall out
         self.words: dict[bytes, object] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.older: dict[bytes, object] = {}
+        # what the library's own normalizer and byte mapping make of each single letter that stays letters
+        octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        normal = self.tokenizer.normalizer.normalize_str
+        self.plain = {c: octets.pre_tokenize_str(normal(chr(c)))[0][0] for c in _PLAIN_LETTERS if chr(c).isalpha() and normal(chr(c)).isalpha()}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, missing: set[bytes]) -> None:
         """Put every word of the set into the cache."""
-        if len(self.words) + len(words) > self.max_words:
-            self.words.clear()
-        if len(self.parts) > self.max_words:
-            self.parts.clear()
-        split: dict[bytes, tuple[str, ...]] = {}
-        wanted: dict[str, None] = {}
-        for raw in words:
-            w = raw.decode("utf-8", "replace")
-            m = _CORE.fullmatch(w)
-            if m and max(m[1]) < _LATIN_END:
-                core = m[1].lower() if m[1].isascii() else m[1]
-                split[raw] = (core, m[2]) if m[2] else (core,)
+        words, value, tokenize, plain = self.words, self.value, self.model.tokenize, self.plain
+        split: list[tuple[bytes, bytes, bytes]] = []
+        rest: list[bytes] = []
+        for raw in missing:
+            # most words are ASCII letters, at most with one mark behind them
+            if raw.isalpha():
+                words[raw] = value([t.id for t in tokenize(raw.lower().decode())])
+                continue
+            if raw[-1] in _MARKS and raw[:-1].isalpha():
+                low, tail = raw[:-1].lower(), raw[-1:]
+                if low not in words:
+                    words[low] = value([t.id for t in tokenize(low.decode())])
+                if tail not in words and tail not in missing:
+                    rest.append(tail)
+                split.append((raw, low, tail))
+                continue
+            m = _CORE.fullmatch(raw.decode("utf-8", "replace"))
+            if m and (m[1].isascii() or plain.keys() >= set(map(ord, m[1]))):
+                core = m[1].translate(plain)
+                if m[2]:
+                    # the core is filed as a word in the form it is looked up by: lower case does not change its ids
+                    low, tail = m[1].lower().encode(), m[2].encode()
+                    if low not in words:
+                        words[low] = value([t.id for t in tokenize(core)])
+                    if tail not in words and tail not in missing:
+                        rest.append(tail)
+                    split.append((raw, low, tail))
+                else:
+                    words[raw] = value([t.id for t in tokenize(core)])
             else:
-                split[raw] = (w,)
-            wanted.update(dict.fromkeys(p for p in split[raw] if p not in self.parts))
-        rest = []
-        for p in wanted:
-            if p.isascii() and p.isalpha():  # lower-case letters: normalising and pre-tokenizing change nothing
-                self.parts[p] = [t.id for t in self.model.tokenize(p.lower())]
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.parts[p] = e.ids
-        for w, parts in split.items():
-            self.words[w] = self.value(self.parts[parts[0]] if len(parts) == 1 else self.parts[parts[0]] + self.parts[parts[1]])
+                rest.append(raw)
+        rest = list(dict.fromkeys(rest))
+        for raw, e in zip(rest, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in rest], add_special_tokens=False), strict=True):
+            words[raw] = value(e.ids)
+        for raw, low, tail in split:
+            words[raw] = words[low] + words[tail]
 
     def texts(self, texts: list[bytes], join: Callable) -> list:
         """join(values of a text's words) for each UTF-8 text. Cut texts into slices of bounded size first."""
         cut = [t.split() for t in texts]
-        words = self.words
-        missing = {w for ws in cut for w in ws if w not in words}
+        held = set().union(*cut)
+        missing = held.difference(self.words)
+        if len(self.words) + len(missing) > self.max_words:
+            self.words, self.older = {}, self.words
+            missing = held
         if missing:
-            before = len(words)
-            self._learn(missing)
-            if len(words) < before:  # the cache was emptied meanwhile
-                self._learn({w for ws in cut for w in ws if w not in words})
-        get = words.__getitem__
+            known = self.older.keys() & missing
+            self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            self._learn(missing - known)
+        get = self.words.__getitem__
         return [join(map(get, ws)) for ws in cut]
 
 
