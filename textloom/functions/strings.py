@@ -13,6 +13,11 @@ TERMINATORS = "。！？…”.!?\""
 CLOSING_QUOTES = "\"”'"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: a lambda would compute an expression it mentions for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends (trim drops only U+0020)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -114,9 +119,12 @@ def last_number(name: Column) -> Column:
 
 def chunk_words(c: Column, n: int = 4) -> Column:
     """The words in lines of n, each line ended by a line feed."""
-    w = F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: x != "")
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.array_join(F.slice(w, i, n), " "), F.lit("\n")))
+
+    def chunks(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.array_join(F.slice(w, i, n), " "), F.lit("\n")))
+
+    return let(F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: x != ""), chunks)
 
 
 def wrap_words(c: Column, width: int = 15) -> Column:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.strings import let
 from textloom.operators.runs import merge_equal_styles
 
 
@@ -41,16 +42,17 @@ def glossary_replace_runs(runs: Column, glossary: dict[str, str], pad: str = " "
     known = F.create_map(*(F.lit(x) for k, v in glossary.items() for x in (k, f"{pad}{v}{pad}")))
     full = F.array_join(F.transform(runs, lambda r: r["text"]), "")
     bounds = F.transform(runs, lambda r, i: F.struct(F.aggregate(F.slice(runs, 1, i), F.lit(0), lambda n, x: n + F.length(x["text"])).alias("s"), F.length(r["text"]).alias("n"), r["style"].alias("style")))
-    tokens = _tokens(full, glossary)
-    cut = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("s")))
 
-    def pieces(x: Column) -> Column:
+    def placed(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("s")))
+
+    def pieces(x: Column, bounds: Column) -> Column:
         part = lambda b: F.substring(x["t"], F.greatest(b["s"] - x["s"], F.lit(0)) + 1, F.least(b["s"] + b["n"], x["s"] + F.length(x["t"])) - F.greatest(b["s"], x["s"]))
         over = F.filter(bounds, lambda b: (b["s"] < x["s"] + F.length(x["t"])) & (b["s"] + b["n"] > x["s"]))
         hit = F.array(F.struct(F.try_element_at(known, x["t"]).alias("text"), F.get(over, F.lit(0))["style"].alias("style")))
         return F.when(x["t"].isin(*glossary), hit).otherwise(F.transform(over, lambda b: F.struct(part(b).alias("text"), b["style"].alias("style"))))
 
-    return F.when(glossary_hits(full, glossary) == 0, runs).otherwise(merge_equal_styles(F.flatten(F.transform(cut, pieces))))
+    return F.when(glossary_hits(full, glossary) == 0, runs).otherwise(merge_equal_styles(let(bounds, lambda b: F.flatten(F.transform(let(_tokens(full, glossary), placed), lambda x: pieces(x, b))))))
 
 
 def glossary_hits(text: Column, glossary: dict[str, str]) -> Column:

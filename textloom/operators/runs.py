@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.strings import lstrip, rstrip, strip
+from textloom.functions.strings import let, lstrip, rstrip, strip
 
 #: Marks that take no space before them.
 CLOSING = ".,!?;:"
@@ -76,13 +76,12 @@ def number_heading_runs(texts: Column) -> Column:
     full = F.array_join(texts, "")
     head = F.regexp_extract(full, r"(?U)^\s*(\d++(?:\.\d++)*+)", 0)
     after = F.substring(full, F.length(head) + 1, F.lit(1))
-    at = locate(texts, F.length(head))
 
-    def put(t: Column, i: Column) -> Column:
+    def put(t: Column, i: Column, at: Column) -> Column:
         tail = F.substring(t, at["offset"] + 1, F.length(t))
         return F.when(i == at["run"], F.concat(F.substring(t, F.lit(1), at["offset"]), F.lit(":"), F.when((after == ".") & F.startswith(tail, F.lit(".")), F.substring(tail, 2, 1 << 30)).otherwise(tail))).otherwise(t)
 
-    return F.when((head == "") | (after == ":"), texts).otherwise(F.transform(texts, put))
+    return F.when((head == "") | (after == ":"), texts).otherwise(let(locate(texts, F.length(head)), lambda at: F.transform(texts, lambda t, i: put(t, i, at))))
 
 
 def write_back(texts: Column, new: Column) -> Column:
