@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,30 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_FALLBACK = "file:///tmp/checkpoints"
+from textloom.sources.shared import drop_path, materialize, shared_path
 
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; it goes when the driver's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    path = f"{base.rstrip('/')}/textloom/{tag}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Tables", "by_bytes", "drop_path", "materialize", "shared_path", "table", "unsigned_hex"]
 
 
 class Tables:
