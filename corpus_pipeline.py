@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, langid, mixing, simhash, token_output
+from textloom.llm import decontaminate, langid, mixing, near_texts, token_output
 from textloom.llm.common import shared_path, table
 
 #: Documents whose predicted language is less certain than this are rejected.
@@ -32,9 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: that of the smallest id. Equal rows count once.
 
-    Rows without an id are dropped where their group has a row with one.
+    Near copies have five-word shingles of similarity 0.8 or more. Rows without an id are dropped where their group has a row with one.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = near_texts.near_texts(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
