@@ -86,6 +86,14 @@ def test_walk(spark, pairs, want):
         assert sorted((r.step, r.node) for r in crawl.walk_recursive(edges, starts).collect()) == got
 
 
+def test_walk_has_no_step_limit_of_its_own(spark):
+    n = (1 << 20) + 2
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    starts = spark.createDataFrame([(0,)], "start long")
+    assert tuple(crawl.walk(edges, starts).selectExpr("count(*)", "max(step)", "count_if(step = node)").first()) == (n + 1, n, n + 1)
+    assert sorted((r.step, r.node) for r in crawl.walk(edges.where("src < 9"), starts, max_steps=3).collect()) == [(k, k) for k in range(4)]
+
+
 def test_services(spark):
     df = spark.createDataFrame([("The cat is on the roof. Le chat est dans la maison!",), ("",)], "t string")
     assert [r[0] for r in df.select(remove_language(F.col("t"), "fr")).collect()] == ["The cat is on the roof . !", ""]

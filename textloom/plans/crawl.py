@@ -162,8 +162,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", site: str =
     return found.drop(*FIELDS[1:], "_title", "_page", "_outer", "_links")
 
 
-def walk(edges: DataFrame, starts: DataFrame, max_steps: int = 1 << 20, src: str = "src", dst: str = "dst", start: str = "start") -> DataFrame:
-    """start, step, node: each start's chain of pages in order, to its end or for max_steps.
+def walk(edges: DataFrame, starts: DataFrame, max_steps: int | None = None, src: str = "src", dst: str = "dst", start: str = "start") -> DataFrame:
+    """start, step, node: each start's chain of pages in order, to its end or for max_steps if given.
 
     Pointer doubling: round k knows 2^k steps of every chain, so a chain of n pages takes
     log2(n) joins. Each round is a table in the shared folder, and every join can be dealt to
@@ -180,9 +180,9 @@ def walk(edges: DataFrame, starts: DataFrame, max_steps: int = 1 << 20, src: str
     jump, jump_path = put(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).groupBy(F.col(src).alias("src")).agg(F.min(dst).alias("dst")))
     seen, seen_path = put(starts.select(F.col(start).alias("start"), F.lit(0).cast("long").alias("step"), F.col(start).alias("node")).where("node IS NOT NULL").distinct())
     length, last = 1, 0
-    while length <= max_steps:
+    while max_steps is None or length <= max_steps:
         further = seen.join(jump, seen["node"] == jump["src"]).select("start", (F.col("step") + length).alias("step"), F.col("dst").alias("node"))
-        both = seen.unionByName(further.where(F.col("step") <= max_steps))
+        both = seen.unionByName(further if max_steps is None else further.where(F.col("step") <= max_steps))
         grown, grown_path = put(both.groupBy("start", "node").agg(F.min("step").alias("step")).select("start", "step", "node"))
         drop_path(spark, seen_path)
         seen, seen_path = grown, grown_path
