@@ -237,6 +237,17 @@ def test_url_filters(spark):
     assert url_filter.judge(df, rules).agg(F.max("n_candidates")).first()[0] <= every + 4
 
 
+def test_url_patterns_find_every_match(spark):
+    """Singular hosts too: each verdict is that of the patterns run on every URL."""
+    hosts = [f"{a}-pill{s}{end}" for a in ("cheap", "buy", "online") for s in ("", "s", "sx") for end in (".example.com", "-x.net")]
+    urls = [f"http://{h}/x" for h in hosts] + ["https://www.Buy-Pill.example.com/", "http://pill.example.com/buy-pill.x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.pattern_rule, r.verdict) for r in url_filter.judge(df, list(url_filter.PATTERNS)).collect()}
+    matches = [re.search(r"^([^/]*[.-])?(cheap|buy|online)-pills?[.-]", u.lower().partition("://")[2]) for u in urls]
+    assert got == {i: ("pill shop", "block") if m else (None, "allow") for i, m in enumerate(matches)}
+    assert sum(map(bool, matches)) == 13
+
+
 # ---- 6 and 10 tokens
 
 

@@ -36,15 +36,18 @@ def host_path_rule(rule: str, verdict: str) -> Rule:
     return Rule(rule, verdict, pattern, tuple(dict.fromkeys(tokens)), 1_000_000 + len(rule))
 
 
-def pattern_rule(name: str, verdict: str, pattern: str, tokens: tuple[str, ...]) -> Rule:
-    """A regular expression with the tokens that every match holds; it gives way to any host/path rule."""
-    return Rule(name, verdict, pattern, tokens, len(pattern))
+def pattern_rule(name: str, verdict: str, pattern: str, tokens: tuple[str, ...], rank: int | None = None) -> Rule:
+    """A regular expression with the tokens that every match holds; it gives way to any host/path rule.
+
+    Rules that are cases of one pattern have that pattern's length as rank.
+    """
+    return Rule(name, verdict, pattern, tokens, len(pattern) if rank is None else rank)
 
 
 #: The method's own rules, which decide where no host/path rule fits: names of hosts that sell clicks or pills.
 PATTERNS = (
     pattern_rule("spam farm", "block", r"^(?:[^/]*\.)?spam-farm\.", ("spam", "farm")),
-    pattern_rule("pill shop", "block", r"^(?:[^/]*[.-])?(?:cheap|buy|online)-pills?[.-]", ("pills",)),
+    *(pattern_rule("pill shop", "block", rf"^(?:[^/]*[.-])?(?:cheap|buy|online)-{w}[.-]", (w,), 46) for w in ("pill", "pills")),
     pattern_rule("casino", "block", r"^(?:[^/]*[.-])?casino[.-]", ("casino",)),
     pattern_rule("adult", "block", r"^(?:[^/]*[.-])?(?:porn|xxx)[.-]", ()),
     pattern_rule("click bait", "block", r"^(?:[^/]*[.-])?(?:free|win)-(?:prizes?|money)[.-]", ()),
