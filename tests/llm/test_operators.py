@@ -248,6 +248,17 @@ def test_url_patterns_find_every_match(spark):
     assert sum(map(bool, matches)) == 13
 
 
+def test_url_patterns_are_fetched_by_tokens(spark):
+    assert all(r.tokens for r in url_filter.PATTERNS)
+    hit = [("http://a.xxx-b.com/", "adult"), ("http://porn.x/", "adult"), ("http://free-prize.x/", "click bait"), ("http://a.win-prizes-b.x/", "click bait"), ("http://win-money.x/", "click bait")]
+    hit += [(f"http://x.org/a/{w}.{end}?q", "tracker") for w in ("click", "track") for end in ("php", "cgi")]
+    miss = ["http://example.org/en/1", "http://x.org/aclick.php", "http://freeprize.x/", "http://pornx.org/"]
+    df = spark.createDataFrame([*hit, *((u, None) for u in miss)], "url string, want string").withColumn("page_id", F.col("want"))
+    rows = url_filter.judge(df, list(url_filter.PATTERNS)).collect()
+    assert [(r.page_id, r.verdict) for r in rows] == [(r.pattern_rule, "block" if r.pattern_rule else "allow") for r in rows]
+    assert sum(r.n_candidates for r in rows if r.path == "/en/1") == 0
+
+
 # ---- 6 and 10 tokens
 
 

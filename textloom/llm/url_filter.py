@@ -49,9 +49,9 @@ PATTERNS = (
     pattern_rule("spam farm", "block", r"^(?:[^/]*\.)?spam-farm\.", ("spam", "farm")),
     *(pattern_rule("pill shop", "block", rf"^(?:[^/]*[.-])?(?:cheap|buy|online)-{w}[.-]", (w,), 46) for w in ("pill", "pills")),
     pattern_rule("casino", "block", r"^(?:[^/]*[.-])?casino[.-]", ("casino",)),
-    pattern_rule("adult", "block", r"^(?:[^/]*[.-])?(?:porn|xxx)[.-]", ()),
-    pattern_rule("click bait", "block", r"^(?:[^/]*[.-])?(?:free|win)-(?:prizes?|money)[.-]", ()),
-    pattern_rule("tracker", "block", r"/(?:click|track)\.(?:php|cgi)$", ()),
+    *(pattern_rule("adult", "block", rf"^(?:[^/]*[.-])?{w}[.-]", (w,), 31) for w in ("porn", "xxx")),
+    *(pattern_rule("click bait", "block", rf"^(?:[^/]*[.-])?(?:free|win)-{w}[.-]", (w,), 49) for w in ("prize", "prizes", "money")),
+    *(pattern_rule("tracker", "block", rf"/{w}\.{end}$", (w, end), 30) for w in ("click", "track") for end in ("php", "cgi")),
 )
 
 
