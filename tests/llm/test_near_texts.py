@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from textloom.llm import near_texts, simhash
 
@@ -45,22 +46,34 @@ def edited(seed, n_docs=60):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_links_equal_all_pairs(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 3, "unit_bytes": 4096}])
+def test_links_equal_all_pairs(spark, options):
     texts = edited(1) | {1000 + k: t for k, t in enumerate(["", None, "a b", "a  B", "a b c"])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    sketched = near_texts.sketches(docs)
-    nodes = sketched.groupBy("node").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "first").join(sketched.select("node", "keys"), "node").dropDuplicates(["node"])
-    if block == 4096:
-        assert {r.doc_id: r.component_id for r in near_texts.near_texts(docs).collect()} == brute(texts)
-    else:
-        ids = {r.node: r.first for r in nodes.collect()}
-        up = {i: i for i in ids.values()}
-        for r in near_texts.links(docs, nodes, block=block).collect():
-            old, new = up[ids[r.a]], up[ids[r.b]]
-            up = {i: new if u == old else u for i, u in up.items()}
-        groups = brute({i: texts[i] for i in up})
-        assert len(set(up.values())) == len(set(groups.values())) == len({(up[i], groups[i]) for i in up})
+    assert {r.doc_id: r.component_id for r in near_texts.near_texts(docs, **options).collect()} == brute(texts)
+
+
+def test_keys_of_similar_texts_meet():
+    """Pairs at similarity 0.8 share a key and are within the radius; unlike ones hardly ever."""
+    rng = np.random.default_rng(3)
+    met, near, unlike = 0, 0, 0
+    for _ in range(400):
+        both = rng.integers(0, 1 << 64, 320, np.uint64)
+        a, b = (np.unique(np.r_[both, rng.integers(0, 1 << 64, 40, np.uint64)]) for _ in range(2))
+        margins = np.stack([near_texts.votes(a), near_texts.votes(b), near_texts.votes(rng.integers(0, 1 << 64, 400, np.uint64))])
+        keys, n = near_texts.file_keys(margins)
+        own = [set(x.tolist()) for x in np.split(keys, np.cumsum(n)[:-1])]
+        met += bool(own[0] & own[1])
+        unlike += bool(own[0] & own[2])
+        near += ((margins[0, -128:] > 0) != (margins[1, -128:] > 0)).sum() <= near_texts.RADIUS
+    assert met >= 398 and near >= 398 and unlike <= 4
+
+
+def test_an_id_with_two_texts(spark, sf_dir):
+    """A copy goes with its group although its id names the first text of another one."""
+    texts = [" ".join(f"{w}{k}" for k in range(100)) for w in "ab"]
+    docs = spark.createDataFrame([(1, texts[0]), (5, texts[1]), (5, texts[0]), (7, texts[1]), (5, texts[1])], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_copies(spark, docs, sf_dir).collect())) == [(1, texts[0]), (5, texts[1])]
 
 
 def test_pipeline_stage_drops_copies_at_eighty_percent(spark, sf_dir):

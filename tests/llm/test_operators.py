@@ -184,6 +184,11 @@ def test_language_odd(odd, empty):
     assert langid.identify(empty).count() == 0
     found = {r.doc_id: (r.lang_pred, r.score) for r in rows if r.doc_id is not None}
     assert found[1] == found[2] == found[3] == ("und", 0.0) and found[5][0] == "en"
+    model = langid.Model(["x"], {"x": ["x"]}, [], np.zeros((langid.BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
+    assert [model.predict(t.encode())[0] for t in ("½ ²", "Ⅻ 12", "ª", "ß", "語")] == ["und", "und", "x", "x", "x"]
+    whole = b"Some text, with words; and more of them. " * 9
+    once, cut = np.concatenate(list(langid.gram_slabs(whole))), np.concatenate(list(langid.gram_slabs(whole, 7)))
+    assert sorted(once.tolist()) == sorted(cut.tolist()) and langid.gram_counts(whole)[1].sum() == len(once)
     nothing = langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 

@@ -7,7 +7,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from test_operators import brute_matches, plain_components, plain_fingerprint
+import pytest
+from test_near_texts import brute
+from test_operators import brute_matches, odd  # noqa: F401
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -24,8 +26,7 @@ def test_stages(spark, sf_dir, tmp_path):
             assert k == 3 or len(rows) == len(seen[-1])
             repeats = len(rows)
     assert set(seen[1]) <= set(seen[0]) and len(seen[1]) >= 0.98 * len(seen[0])
-    groups = plain_components({i: plain_fingerprint(t) for i, t in seen[1].items()})
-    assert set(seen[2]) == set(groups.values())
+    assert set(seen[2]) == set(brute(seen[1]).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert set(seen[3]) == {i for i, t in seen[2].items() if not brute_matches(items, t)}
     assert set(seen[4]) == set(seen[3])
@@ -40,3 +41,26 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_returns_the_last_stage(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_stand_odd_rows(spark, sf_dir, odd, k):  # noqa: F811
+    """Nulls, empty and long texts, repeats, no rows, and columns named like those that stages add."""
+    own = odd
+    for c in ("_lang", "_score", "_hash", "_first", "_first_hash", "_copies", "_copy", "_source", "_keep_weight", "weight", "_flag", "_guess"):
+        own = own.withColumn(c, own.n_chars.cast("string"))
+    own = own.withColumn("_lang", own.text)
+    stage = corpus_pipeline.STAGES[k][1]
+    rows = stage(spark, own, sf_dir).collect()
+    assert stage(spark, own.where("false"), sf_dir).columns == own.columns
+    assert stage(spark, own.where("false"), sf_dir).count() == 0
+    assert all(r.asDict().keys() == set(own.columns) and r._lang == r.text and r._hash == r.weight == "0" for r in rows)
+    ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in rows)
+    if k == 0:
+        assert {r.doc_id for r in rows} <= {None, 4, 5, 6, 7, 8, 9} and 5 in {r.doc_id for r in rows}
+    if k == 1:  # one wordless text, one of the two rows with id 6 and the row without an id that is their copy
+        assert [i for _, i in ids] == [1, 4, 5, 6, 7, 8, 9]
+    if k == 2:
+        assert len(rows) == 12
+    if k == 3:
+        assert {r.doc_id for r in rows} == {r.doc_id for r in own.collect()} and len(rows) >= 12

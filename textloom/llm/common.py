@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import drop_path, materialize, shared_path
 
-__all__ = ["Tables", "by_bytes", "drop_path", "materialize", "shared_path", "table", "unsigned_hex"]
+__all__ = ["Tables", "by_bytes", "drop_path", "free_names", "materialize", "shared_path", "table", "tidy", "unsigned_hex"]
 
 
 class Tables:
@@ -53,3 +55,27 @@ def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 def unsigned_hex(col: Column) -> Column:
     """16 lowercase hex digits of a long read as unsigned."""
     return F.lpad(F.lower(F.hex(col)), 16, "0")
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of docs (Spark ignores case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back memory that it no longer uses: it lives on for other stages."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole

@@ -16,14 +16,21 @@ import numpy as np
 GENERATOR = 0b110001110101
 
 
-def _syndromes(words: np.ndarray) -> np.ndarray:
-    """Remainders of 23-bit words modulo the generator."""
-    r = words.astype(np.uint32)
+@functools.cache
+def _remainders() -> np.ndarray:
+    """Remainder modulo the generator of each value of a word's upper 12 bits."""
+    r = np.arange(1 << 12, dtype=np.uint32) << np.uint32(11)
     for bit in range(22, 10, -1):
         r = np.where(r >> bit & 1, r ^ np.uint32(GENERATOR << (bit - 11)), r)
     return r
 
 
+def _syndromes(words: np.ndarray) -> np.ndarray:
+    """Remainders of 23-bit words modulo the generator: a word's lower 11 bits are their own."""
+    words = words.astype(np.uint32)
+    return _remainders()[words >> np.uint32(11)] ^ (words & np.uint32(0x7FF))
+
+
 @functools.cache
 def key_errors() -> tuple[np.ndarray, np.ndarray]:
     """For each of the 2,048 syndromes: up to six error patterns that lead to key codewords, and how many."""
@@ -67,3 +74,25 @@ def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
     code = words.astype(np.uint32)[at] ^ errors[s[at], rank]
     return at, code >> np.uint32(11)  # the code is systematic in its upper 12 bits: they name the codeword
+
+
+def soft_keys(margins: np.ndarray, most: int = 8, flips: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(12-bit codeword indices, costs) of the codewords nearest to each row of 23 signed margins, nearest first.
+
+    A margin's sign is the bit and its size is how sure the bit is; a codeword costs the
+    margins of the bits in which it differs. The words that differ from the row in any of
+    its flips least sure bits are decoded, and the most cheapest codewords found are taken.
+    Where fewer are found, the rest cost infinity.
+    """
+    sure = np.abs(margins)
+    hard = ((margins > 0) << np.arange(23, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    weak = np.uint32(1) << np.argpartition(sure, flips, axis=1)[:, :flips].astype(np.uint32)
+    words = hard[:, None]
+    for k in range(flips):
+        words = np.concatenate((words, words ^ weak[:, k : k + 1]), axis=1)
+    codes = np.sort(words ^ key_errors()[0][_syndromes(words), 0], axis=1)
+    differ = np.unpackbits((codes ^ hard[:, None]).astype("<u4").view(np.uint8).reshape(*codes.shape, 4), axis=2, bitorder="little", count=32)[:, :, :23]
+    cost = np.matmul(differ.astype(np.float32), sure.astype(np.float32)[:, :, None])[:, :, 0]
+    cost[:, 1:][codes[:, 1:] == codes[:, :-1]] = np.inf
+    order = np.argsort(cost, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(codes >> np.uint32(11), order, axis=1), np.take_along_axis(cost, order, axis=1)

@@ -1,15 +1,17 @@
 """Language identification in two levels: the family first, then one-versus-one linear SVMs inside it."""
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import free_names, tidy
+
 UNDETERMINED = "und"
 
 #: Language codes by family. A code that is not listed is a family of its own.
@@ -35,13 +37,31 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Bucket of every 1-, 2- and 3-gram of the lower-cased text's bytes; runs of other than letters are one blank."""
+def has_letter(text: str) -> bool:
+    """Whether any character is in one of Unicode's letter categories; digits, fractions and number letters are not."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _LETTER.finditer(text))
+
+
+def gram_slabs(text: bytes, slab: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Bucket of every 1-, 2- and 3-gram of the lower-cased text's bytes; runs of other than letters are one blank.
+
+    A slab of positions at a time, so that the buckets of a long text are never held together.
+    """
     low = b" " + b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_PLAIN).split()) + b" "
-    b = np.frombuffer(low, np.uint8).astype(np.int32)
-    two = b[:-1] * 40503 + b[1:] * 34283 + 17
-    three = two[:-1] * 31 + b[2:] * 49843 + 91
-    return np.concatenate((b, two & (BUCKETS - 1), (three ^ three >> 13) & (BUCKETS - 1)))
+    for i in range(0, len(low), slab):
+        b = np.frombuffer(low, np.uint8, min(slab + 2, len(low) - i), i).astype(np.int32)
+        one, two = b[:slab], (b[:-1] * 40503 + b[1:] * 34283 + 17)[:slab]
+        three = two[: max(0, len(b) - 2)] * 31 + b[2:] * 49843 + 91
+        yield np.concatenate((one, two & (BUCKETS - 1), (three ^ three >> 13) & (BUCKETS - 1)))
+
+
+def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets in order, their counts) of a text."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in gram_slabs(text):
+        total += np.bincount(at, minlength=BUCKETS)
+    buckets = np.flatnonzero(total)
+    return buckets, total[buckets]
 
 
 @dataclass
@@ -56,9 +76,13 @@ class Model:
     steep: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not self.families or not text or not _LETTER.search(text.decode("utf-8", "replace")):
+        if not self.families or not text or not has_letter(text.decode("utf-8", "replace")):
             return UNDETERMINED, 0.0
-        margin = (self.weights[grams(text)].mean(axis=0, dtype=np.float64) + self.bias) * self.steep
+        total, n = np.zeros(self.weights.shape[1]), 0
+        for at in gram_slabs(text):
+            total += self.weights[at].sum(axis=0, dtype=np.float64)
+            n += len(at)
+        margin = (total / n + self.bias) * self.steep
         p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
         share = p[: len(self.families)] / max(p[: len(self.families)].sum(), 1e-300) if len(self.families) > 1 else np.ones(1)
         best = int(share.argmax())
@@ -168,7 +192,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             at, n = [], []
             for t in batch.column(0):
-                u, c = np.unique(grams(t.as_py()), return_counts=True)
+                u, c = gram_counts(t.as_py())
                 at.append(u.astype(np.int32))
                 n.append(c.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["lang", "at", "n"])
@@ -181,18 +205,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with two more columns, without a shuffle; only the text is read by the prediction.
 
-    und and 0 for a null text, a text without a letter, and where nothing was learned. Each
-    text is read whole. Existing columns of the two names are replaced.
+    und and 0 for a null text, a text without a letter (of a Unicode letter category), and
+    where nothing was learned. Each text is read whole, its grams a slab at a time. Existing
+    columns of the two names are replaced; all others stay.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [model.predict(t) for t in texts]
-            yield pd.DataFrame({"lang": [f[0] for f in found], "score": [f[1] for f in found]})
-
-    guess = F.pandas_udf(run, "lang string, score double")
-    out = docs.drop(lang_out, score_out).withColumn("_guess", guess(F.col(text_col).cast("binary")))
-    return out.select(*(c for c in out.columns if c != "_guess"), F.col("_guess.lang").alias(lang_out), F.col("_guess.score").alias(score_out))
+            found = [model.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
+
+    (both,) = free_names(docs, "_guess")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    guess = F.arrow_udf(tidy(run), "struct<lang: string, score: double>")
+    out = docs.select(*kept, guess(F.col(text_col).cast("binary")).alias(both))
+    return out.select(*kept, F.col(f"{both}.lang").alias(lang_out), F.col(f"{both}.score").alias(score_out))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import free_names, materialize
 
 _ROUNDS, _WIDTH = 7, 32
 
@@ -115,18 +115,23 @@ def block_of(id_col: Column, blocks: int, seed: int) -> Column:
     return (_hash(F.lit(f"block{seed}"), F.coalesce(id_col.cast("string"), F.lit(""))) % blocks).cast("int")
 
 
-def with_copies(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, blocks: int = 1024, copies_col: str = "copies") -> DataFrame:
-    """docs with weight and copies: how often the mix reads each row. Repeated rows get equal copies; other columns stay."""
-    small = materialize(mix.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), F.col("taken").alias("_taken")), "mix-plan")
-    joined = docs.drop("weight", copies_col).join(small, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    taken = F.coalesce(F.get("_taken", block_of(F.col(id_col), blocks, seed)), F.lit(False)).cast("long")
-    return joined.withColumn("weight", F.col("_weight")).withColumn(copies_col, F.col("_epochs") + taken).drop("_source", "_weight", "_epochs", "_taken")
+def with_copies(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, blocks: int = 1024, copies_col: str = "copies", weight_col: str = "weight") -> DataFrame:
+    """docs with weight and copies: how often the mix reads each row. Repeated rows get equal copies.
+
+    Columns of docs of these two names are replaced; all others stay as they are.
+    """
+    source, weight, epochs, taken = free_names(docs, "_source", "_weight", "_epochs", "_taken")
+    small = materialize(mix.select(F.col("source").alias(source), F.col("weight").alias(weight), F.col("epochs").alias(epochs), F.col("taken").alias(taken)), "mix-plan")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (weight_col.lower(), copies_col.lower())]
+    joined = docs.join(small, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    once_more = F.coalesce(F.get(taken, block_of(F.col(id_col), blocks, seed)), F.lit(False)).cast("long")
+    return joined.select(*kept, F.col(weight).alias(weight_col), (F.col(epochs) + once_more).alias(copies_col))
 
 
 def mix_rows(docs: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, blocks: int = 1024, **options) -> DataFrame:
     """The mixed corpus: each row as many times as the mix reads it, with the columns of docs."""
     mix = plan(docs, tokens, id_col, source_col, blocks=blocks, seed=seed, **options)
-    counted = with_copies(docs.withColumn("_keep_weight", F.col("weight")) if "weight" in docs.columns else docs, mix, id_col, source_col, seed, blocks, "_copies")
-    out = counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    columns = [F.col("_keep_weight").alias("weight") if c == "weight" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    weight, copies, copy = free_names(docs, "_weight", "_copies", "_copy")
+    counted = with_copies(docs, mix, id_col, source_col, seed, blocks, copies, weight)
+    out = counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
