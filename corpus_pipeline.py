@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, langid, mixing, near_texts, token_output
-from textloom.llm.common import shared_path, table
+from textloom.llm.common import free_names, shared_path, table
 
 #: Documents whose predicted language is less certain than this are rejected.
 LEAST_SCORE = 0.5
@@ -23,35 +23,52 @@ END_ID = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language; und (no text, no letter) and unsure ones go."""
-    model = langid.train(docs)
-    judged = langid.predict(docs, model, lang_out="_lang", score_out="_score")
-    return judged.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keep documents in a learned language; und (no text, no letter) and unsure ones go.
+
+    The prediction reads the text alone; a null id or lang only keeps a row from being learned
+    from. Repeated rows share their fate, an empty table stays empty, columns stay as they are.
+    """
+    lang, score = free_names(docs, "_lang", "_score")
+    judged = langid.predict(docs, langid.train(docs), lang_out=lang, score_out=score)
+    return judged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: that of the smallest id. Equal rows count once.
+    """Keep one document of each group of near copies: that of the smallest id, equal ids by text hash.
 
-    Near copies have five-word shingles of similarity 0.8 or more. Rows without an id are dropped where their group has a row with one.
+    Near copies have five-word shingles of similarity 0.8 or more; null and wordless texts are
+    one group. A row without an id is kept where its group has none with one. Rows that
+    repeat id and text count once, whatever their other columns hold; these stay as they are.
     """
     groups = near_texts.near_texts(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    here, first, hashed = free_names(docs, "_hash", "_first", "_first_hash")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("hash") == F.col("first_hash"))).select(F.col("doc_id").alias(first), F.col("hash").alias(hashed)).distinct()
+    own = docs.withColumn(here, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(first)) & (F.col(here) == F.col(hashed))
+    return own.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", here]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that repeat no benchmark item."""
+    """Keep documents that repeat no benchmark item.
+
+    A null or wordless text repeats none; ids are not looked at; columns stay as they are.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that sources have their target weights; every document is read at least once."""
+    """Repeat documents so that sources have their target weights; every document is read at least once.
+
+    A null source is a source of its own; one without a word is read once. Columns stay as they are.
+    """
     return mixing.mix_rows(docs, mixing.word_count(F.col("text")), target_entropy=MIX_ENTROPY, budget="cover")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token ids in doc_id order; one row a document as read back from the files."""
+    """Write token ids in doc_id order; one row a document as read back from the files.
+
+    A null text has the end id alone; null ids come first; repeated rows follow each other.
+    """
     path = token_output.write_token_ids(docs, shared_path(spark, "token-ids"), public_tokenizers.path(VOCABULARY), END_ID)
     return token_output.read_token_ids(spark, path, content="crc")
 
