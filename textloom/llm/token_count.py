@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_bytes
-from textloom.llm.word_encoder import WordEncoder, pieces
+from textloom.llm.common import by_bytes, tidy
+from textloom.llm.word_encoder import WordEncoder
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -36,7 +36,8 @@ def token_counts(
     at white space and its pieces' counts are added up, so memory follows the slice, not the
     text. A null text counts as empty (0 bytes, 0 tokens); a null id stays null; a repeated
     row gives a repeated result; an empty table gives an empty result; other columns are
-    never read. The vocabulary's pre-tokenizer must drop white space (see word_encoder).
+    never read. A vocabulary whose tokens may span white space (see word_encoder) gets its
+    texts uncut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,7 @@ def token_counts(
             for i, j in by_bytes(batch.column(1), batch_bytes):
                 raw = [t or b"" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 sizes += map(len, raw)
-                cut = [pieces(t, piece_bytes) for t in raw]
+                cut = [encoder.pieces(t, piece_bytes) for t in raw]
                 if all(len(p) == 1 for p in cut):
                     counts += encoder.texts([p[0] for p in cut], sum)
                 else:
@@ -54,4 +55,4 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return narrow.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

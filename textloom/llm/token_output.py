@@ -1,7 +1,5 @@
 """Token-id output: Parquet files of list columns in id order, and readers that open only what they need."""
 
-from __future__ import annotations
-
 import sys
 import zlib
 from array import array
@@ -12,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_bytes
-from textloom.llm.word_encoder import WordEncoder, pieces
+from textloom.llm.common import by_bytes, tidy
+from textloom.llm.word_encoder import WordEncoder
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -32,22 +30,32 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, batch_bytes: int = 1 << 20, piece_bytes: int = 1 << 16) -> DataFrame:
-    """(doc_id, text binary) to (doc_id, n_tokens, ids); row order within a partition stays."""
+    """(doc_id, text binary) to (doc_id, n_tokens, before, ids); row order within a partition stays.
+
+    before is the number of ids of the rows before it in its partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder, before = _encoder(tokenizer_path), 0
         end = b"" if end_id is None else _kept([end_id])
         for batch in batches:
             ids = batch.column(0)
             for i, j in by_bytes(batch.column(1), batch_bytes):
-                cut = [pieces(t or b"", piece_bytes) for t in batch.column(1).slice(i, j - i).to_pylist()]
-                out = [b"".join([*(encoder.texts([p], b"".join)[0] for p in ps), end]) for ps in cut] if any(len(p) > 1 for p in cut) else [x + end for x in encoder.texts([p[0] for p in cut], b"".join)]
+                cut = [encoder.pieces(t or b"", piece_bytes) for t in batch.column(1).slice(i, j - i).to_pylist()]
+                if any(len(p) > 1 for p in cut):
+                    out = [b"".join([*(encoder.texts([p], b"".join)[0] for p in ps), end]) for ps in cut]
+                else:
+                    out = [x + end for x in encoder.texts([p[0] for p in cut], b"".join)]
                 sizes = np.fromiter((len(x) // 4 for x in out), np.int32, len(out))
-                offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(out))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n_tokens", "ids"])
+                offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(out))]))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes), pa.array(before + offsets[:-1]), lists], ["doc_id", "n_tokens", "before", "ids"])
+                before += int(offsets[-1])
+
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
+
+SCHEMA = "doc_id long, n_tokens int, before long, ids array<int>"
 
 
 def write_token_ids(
@@ -62,72 +70,71 @@ def write_token_ids(
     page_bytes: int = 256 << 10,
     encoding: str = "dictionary",
 ) -> str:
-    """Encode every text and write (doc_id, n_tokens, ids) in ascending doc_id order; returns path.
+    """Encode every text and write token files in ascending doc_id order; returns path.
 
-    File part-00000 holds the smallest ids, and rows ascend within a file. ids is a list
-    column, dictionary encoded (encoding="dictionary") or delta encoded ("delta", which is
-    format version 2 without dictionaries). row_group_bytes and page_bytes bound what a
+    path/tokens has (doc_id, n_tokens, before, ids): part-00000 holds the smallest ids, rows
+    ascend within a file, and before counts the ids of the rows before it in the file.
+    path/starts has one row a file: its number and the ids of all files before it. ids is a
+    list column, dictionary encoded (encoding="dictionary") or delta encoded ("delta", which
+    is format version 2 without dictionaries). row_group_bytes and page_bytes bound what a
     reader of a few rows must open; Parquet's column and offset indexes are written, so a
-    doc_id range or the two metadata columns are read without touching other pages. The
-    ranges come from a sample of ids, texts are encoded after the one shuffle, and Spark's
-    own committer writes the files, so a lost executor only repeats its tasks.
+    doc_id range or the metadata columns are read without touching other pages. The ranges
+    come from a sample of ids and text hashes, so rows of one id can be split too; texts are
+    encoded after the one shuffle, and Spark's own committer writes the files, so a lost
+    executor only repeats its tasks.
 
     Null text: no ids but the end id. Null doc_id: first in order. Rows with equal ids are
-    ordered by their text, so repeated rows come out alike. An empty table writes empty files.
+    ordered by a hash of their text, then by the text, so repeated rows come out alike. An
+    empty table writes no rows.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("hash"))
     parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = encode_ids(ordered, tokenizer_path, end_id).write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
+    ordered = narrow.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    out = encode_ids(ordered, tokenizer_path, end_id).write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("maxRecordsPerFile", 0)
     if encoding == "delta":
         out = out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
     else:
         out = out.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 1 << 20)
-    out.parquet(path)
+    out.parquet(f"{path}/tokens")
+    totals = _stored(spark, path).groupBy("_file").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    totals.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")).write.parquet(f"{path}/starts")
     return path
 
 
-SCHEMA = "doc_id long, n_tokens int, ids array<int>"
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The token files' rows with the number of their file as _file."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/tokens").select("*", number.alias("_file"))
 
 
 def read_token_ids(spark: SparkSession, path: str, content: str = "ids") -> DataFrame:
     """doc_id, start, n_tokens as written, and the ids (content="ids"), ids_crc32 ("crc") or neither ("none").
 
-    start is the number of ids of all documents before the row. "none" opens the metadata
-    columns alone. Only one total per file meets in a single window; rows are numbered
-    within their own file. ids_crc32 is the unsigned crc32 of the ids as little-endian
-    unsigned 32-bit integers.
+    start is the number of ids of all documents before the row: the row's place in its file,
+    which is stored with it, and the file's, from the small table of files. Nothing else is
+    shuffled, numbered or sorted, so a filter on doc_id reaches the files: only the row groups
+    and pages that can hold the id are opened. "none" opens the metadata columns alone. For
+    "crc", n_tokens and ids_crc32 are counted from the ids themselves; ids_crc32 is the
+    unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
     """
-    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    stored = spark.read.schema(SCHEMA).parquet(path)
-    narrow = stored.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *place)
-    rows = narrow
-    if content == "ids":
-        rows = stored.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids", *place)
-    elif content == "crc":
-        rows = _with_crc(stored.select("doc_id", "ids", *place))
-    elif content != "none":
+    if content not in ("ids", "crc", "none"):
         raise ValueError(f"unknown content {content!r}")
-    totals = narrow.groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_file", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(starts, "_file").withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    return out.select("doc_id", "start", "n_tokens", *{"ids": ["ids"], "crc": ["ids_crc32"], "none": []}[content])
-
-
-def _with_crc(rows: DataFrame) -> DataFrame:
-    """(doc_id, ids, _file, _row) to n_tokens and ids_crc32 in place of the ids, counted from the ids themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "_file", "_row"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, _file string, _row long")
+    starts = spark.read.schema("_file long, _base long").parquet(f"{path}/starts")
+    rows = _stored(spark, path).join(starts, "_file").withColumn("start", F.col("_base") + F.col("before"))
+    if content == "crc":
+        rows = rows.select("doc_id", "start", F.arrow_udf(_counted, "struct<n_tokens: long, ids_crc32: long>")("ids").alias("_own"))
+        return rows.select("doc_id", "start", "_own.n_tokens", "_own.ids_crc32")
+    return rows.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), *(["ids"] if content == "ids" else []))
+
+
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """(number, crc32) of each list of ids."""
+    for lists in batches:
+        ends = lists.offsets.to_numpy()
+        data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["n_tokens", "ids_crc32"])

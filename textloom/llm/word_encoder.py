@@ -1,14 +1,16 @@
 """Token ids of whole texts through the tokenizers library, with each distinct word encoded once.
 
-For vocabularies whose pre-tokenizer drops white space (no token ever spans it), a text's
-ids are the ids of its words, one after the other. ASCII white space is therefore the safe
-boundary at which a text of any length is cut; other white space stays inside a word and is
-left to the library. Words met before come
-from a bounded cache; the others of a batch go to the library together.
+For vocabularies that lower-case and whose pre-tokenizer drops white space (no token ever
+spans it), a text's ids are the ids of its words, one after the other. ASCII white space is
+therefore the safe boundary at which a text of any length is cut; other white space stays
+inside a word and is left to the library. Words met before come from a bounded cache; the
+others of a batch go to the library together. Whether a vocabulary is of this kind is read
+from its own file; texts go to the library whole, in batches, if it is not.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -18,6 +20,25 @@ _CORE = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]*)")
 _MARKS = b".,!?;:"
 _PLAIN_LETTERS = range(0x41, 0x250)
 
+#: The normalizer and pre-tokenizer, as tokenizer files state them, that words may be encoded one by one for.
+FITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def fits(tokenizer) -> bool:
+    """Whether a tokenizer's texts can be encoded word by word: its form is FITTING and its added tokens are like <|name|>."""
+    form = json.loads(tokenizer.to_str())
+    added = all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in form.get("added_tokens", []))
+    return added and form["model"]["type"] == "BPE" and all(form.get(k) == v for k, v in FITTING.items())
+
 
 class WordEncoder:
     """Encodes by words; value turns a word's ids into what is kept for it, and + joins two of these."""
@@ -34,6 +55,9 @@ class WordEncoder:
         # two generations: what the newer one lacks is taken over from the older, so words met once fall out
         self.words: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
+        self.by_words = fits(self.tokenizer)
+        if not self.by_words:
+            return
         # what the library's own normalizer and byte mapping make of each single letter that stays letters
         octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         normal = self.tokenizer.normalizer.normalize_str
@@ -80,6 +104,9 @@ class WordEncoder:
 
     def texts(self, texts: list[bytes], join: Callable) -> list:
         """join(values of a text's words) for each UTF-8 text. Cut texts into slices of bounded size first."""
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [join([self.value(e.ids)]) for e in whole]
         cut = [t.split() for t in texts]
         held = set().union(*cut)
         missing = held.difference(self.words)
@@ -93,6 +120,10 @@ class WordEncoder:
         get = self.words.__getitem__
         return [join(map(get, ws)) for ws in cut]
 
+    def pieces(self, text: bytes, most: int) -> list[bytes]:
+        """text cut where its ids can be cut, into pieces of about most bytes: not at all where words don't stand for themselves."""
+        return pieces(text, most) if self.by_words else [text]
+
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
