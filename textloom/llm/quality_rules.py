@@ -21,8 +21,6 @@ GRIDS = {
     "bang_ratio": [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5],
     "long_words": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0],
 }
-#: The stratum of documents whose own stratum is null or has no labels; its cutoffs come from all labels.
-POOLED = "*"
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = None) -> DataFrame:
@@ -114,9 +112,9 @@ def _beta(a: float, b: float, x: float) -> float:
 
 @dataclass(frozen=True)
 class Cutoff:
-    """None: no cutoff of the grid is safe, the rule rejects nothing there."""
+    """None as cutoff: no cutoff of the grid is safe, the rule rejects nothing there. None as stratum: documents without one."""
 
-    stratum: str
+    stratum: str | None
     rule: str
     cutoff: float | None
     good: int
@@ -134,7 +132,9 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, label_id: str = "doc_
     over strata and rules; within a rule the cutoffs are tested from the highest down, up to
     the first that isn't safe, which needs no further correction (a fixed sequence of tests).
     Of the safe cutoffs the one with most bad less good documents rejected is taken, the highest
-    of equals. Documents that the base rules reject anyway are no part of the holdout.
+    of equals. Documents that the base rules reject anyway are no part of the holdout. A
+    stratum without labels has no cutoff, as nothing is known of its good documents; those
+    without a stratum are a stratum of their own.
 
     Good and bad labels are counted by stratum, rule and grid step over all labels; a count
     table of strata x 6 x 11 rows comes to the driver. A label row counts as often as it
@@ -144,15 +144,14 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, label_id: str = "doc_
     rows = measured.where(~base_failed()).join(held, "doc_id")
     steps = [F.struct(F.lit(rule).alias("rule"), sum(((F.col(rule) > c).cast("int") for c in grid), F.lit(0)).alias("step")) for rule, grid in GRIDS.items()]
     counts = rows.select("stratum", "_label", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count_if(F.col("_label") == 1).alias("good"), F.count_if(F.col("_label") == 0).alias("bad")).collect()
-    table: dict[tuple[str, str], list[list[int]]] = {}
+    table: dict[tuple[str | None, str], list[list[int]]] = {}
     for r in counts:
-        for stratum in {POOLED, POOLED if r["stratum"] is None else r["stratum"]}:
-            cell = table.setdefault((stratum, r["rule"]), [[0, 0] for _ in range(1 + max(map(len, GRIDS.values())))])
-            cell[r["step"]][0] += r["good"]
-            cell[r["step"]][1] += r["bad"]
+        cell = table.setdefault((r["stratum"], r["rule"]), [[0, 0] for _ in range(1 + max(map(len, GRIDS.values())))])
+        cell[r["step"]][0] += r["good"]
+        cell[r["step"]][1] += r["bad"]
     tests = max(1, len({s for s, _ in table})) * len(GRIDS)
     out = []
-    for (stratum, rule), cell in sorted(table.items()):
+    for (stratum, rule), cell in sorted(table.items(), key=lambda x: (x[0][0] is not None, x[0])):
         n = sum(g for g, _ in cell)
         best = Cutoff(stratum, rule, None, n, 0, 0)
         for i in range(len(GRIDS[rule]) - 1, -1, -1):
@@ -166,15 +165,17 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, label_id: str = "doc_
 
 
 def apply_cutoffs(measured: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
-    """measured with base_failed, failed_rules (array) and kept; the cutoffs are constants of the plan."""
-    strata = {c.stratum for c in cutoffs}
-    known = F.when(F.col("stratum").isin(*sorted(strata - {POOLED})), F.col("stratum")).otherwise(F.lit(POOLED)) if strata - {POOLED} else F.lit(POOLED)
+    """measured with base_failed, failed_rules (array) and kept; the cutoffs are constants of the plan.
+
+    Each stratum has its own cutoffs only; one that no cutoff names is judged by the base rules
+    alone. Repeated rows are judged alike; other columns stay.
+    """
     fails = []
     for rule in GRIDS:
         limit = F.lit(None).cast("double")
         for c in cutoffs:
             if c.rule == rule and c.cutoff is not None:
-                limit = F.when(known == c.stratum, F.lit(c.cutoff)).otherwise(limit)
+                limit = F.when(F.col("stratum").eqNullSafe(F.lit(c.stratum)), F.lit(c.cutoff)).otherwise(limit)
         fails.append(F.when(F.col(rule) > limit, F.lit(rule)))
     out = measured.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*fails)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
