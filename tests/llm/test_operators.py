@@ -16,6 +16,8 @@ from textloom.llm import decontaminate, golay, langid, license_scan, line_dedup,
 from textloom.llm.components import connected_components
 from textloom.llm.word_encoder import WordEncoder, pieces
 
+from compare import connection, rows_in_sql, rows_of
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, copies int, w string, fp long, _t string"
 VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
 
@@ -210,6 +212,12 @@ def test_mixing_meets_its_targets(spark):
         assert abs(r.t - w[r.source] * sum(n.values())) <= n[r.source] / 1024 * 4 + 10
     limited = {r.source: r for r in mixing.plan(docs, F.col("n"), max_repeats=1.5).collect()}
     assert max(r.weight * sum(n.values()) / n[k] for k, r in limited.items()) == pytest.approx(1.5, abs=1e-6)
+    stream = mixing.mix_rows(docs, F.col("n"), target_entropy=0.97, place_col="place").toPandas().sort_values("place", kind="stable")
+    for part in np.array_split(stream.fillna({"source": "none"}), 10):  # every tenth of the mix has the weights of the whole
+        share = part.groupby("source")["n"].sum() / part["n"].sum()
+        assert all(abs(share.get(k or "none", 0) - v) < 0.03 for k, v in w.items())
+    for _, own in stream[stream.source == "small"].groupby("doc_id"):  # a later pass reads a block later
+        assert own.place.is_unique
     cover = mixing.mix_rows(docs.withColumn("weight", F.lit(5)), F.col("n"), target_entropy=0.97, budget="cover")
     assert cover.columns == ["doc_id", "source", "n", "weight"] and cover.select("doc_id").distinct().count() == 6000
 
@@ -310,13 +318,41 @@ def test_token_files(spark, docs, texts, tmp_path, encoding):
     assert "ids:array" not in plan
     import pyarrow.parquet as pq
 
-    files = sorted(tmp_path.glob("ids/part-*"))
+    files = sorted(tmp_path.glob("ids/tokens/part-*"))
     order = [i for f in files for i in pq.read_table(f)["doc_id"].to_pylist()]
     assert order == sorted(texts)
-    column = pq.ParquetFile(files[0]).metadata.row_group(0).column(2)
+    column = pq.ParquetFile(files[0]).metadata.row_group(0).column(3)
     assert column.has_offset_index and (("RLE_DICTIONARY" in column.encodings or "PLAIN_DICTIONARY" in column.encodings) if encoding == "dictionary" else "DELTA_BINARY_PACKED" in column.encodings)
 
 
+def test_one_document_opens_one_row_group(spark, tmp_path):
+    """A filter on doc_id reaches the files: their statistics leave one row group of one file."""
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words "), F.col("id").cast("string"), F.lit(" ")), 20).alias("text"))
+    path = token_output.write_token_ids(docs, f"file://{tmp_path}/ids", VOCABULARY, files=4, row_group_bytes=8 << 10, page_bytes=2 << 10)
+    import pyarrow.parquet as pq
+
+    meta = [pq.ParquetFile(f).metadata for f in tmp_path.glob("ids/tokens/part-*")]
+    ids = [m.row_group(k).column(0).statistics for m in meta for k in range(m.num_row_groups)]
+    assert len(meta) == 4 and len(ids) >= 12 and sum(c.min <= 4321 <= c.max for c in ids) == 1
+    every = {r.doc_id: (r.start, r.ids) for r in token_output.read_token_ids(spark, path).collect()}
+    one = token_output.read_token_ids(spark, path).where("doc_id = 4321")
+    assert [(r.start, r.ids) for r in one.collect()] == [every[4321]]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,4321)" in plan and "Window" not in plan
+    assert "EqualTo(doc_id,4321)" in token_output.read_token_ids(spark, path, "crc").where("doc_id = 4321")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocabularies_that_do_not_fit_are_left_to_the_library(docs, odd):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert not WordEncoder(path, len).by_words and WordEncoder(VOCABULARY, len).by_words
+    for rows in (docs, odd):
+        got = sorted((r.n_bytes, r.n_tokens) for r in token_count.token_counts(rows, path, batch_bytes=999, piece_bytes=50).collect())
+        assert got == sorted((len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in rows.collect())
+
+
 def test_token_files_odd(spark, odd, empty, tmp_path):
     rows = token_output.read_token_ids(spark, token_output.write_token_ids(odd, f"file://{tmp_path}/a", VOCABULARY), "crc").orderBy("start").collect()
     assert len(rows) == 12 and [r.doc_id for r in rows] == sorted([r.doc_id for r in rows], key=lambda i: (i is not None, i))
@@ -366,30 +402,114 @@ def test_decontamination(spark):
     want = {(d, i) for d, t, _ in rows for i in brute_matches([x for x in items if x[0] is not None], t)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
     assert got == want
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, block_bytes=100).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, index_bytes=1000).collect()} == want
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {d for d, _, _ in rows} - {d for d, _ in want}
     assert decontaminate.matches(docs.where("false"), bench).count() == 0 and decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_a_large_benchmark():
+    """20,000 items: every window as similar as asked is found, few others are verified."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 80)))) for i in range(20_000)]
+    index = decontaminate.Index(items)
+    assert sum(len(g.members) for g in index.widths[5][2].values()) == 20_000
+    by_word = {}
+    for i, t in items:
+        for w in set(t.split()):
+            by_word.setdefault(w, []).append(i)
+    for d in range(40):
+        words = rng.choices(vocabulary, k=60)
+        own = items[rng.randrange(20_000)][1].split()
+        for _ in range(d % 4):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        text = " ".join(words[:30] + own + words[30:])
+        near = Counter(i for w in set(own) for i in by_word[w]).most_common(5)
+        want = brute_matches([items[i] for i, _ in near], text)
+        assert {j for i, *_ in index.search(text.encode(), 0.8) for j in index.ids[i]} == want
+    prints = np.random.default_rng(0).integers(0, 1 << 64, (200, 2), np.uint64)
+    assert sum(1 for g in index.widths[5][2].values() for _ in g.near(prints, index.radius)) <= 20  # of 4,000,000 pairs
+
+
 # ---- 8 licences
 
 
-def test_licences(spark, odd, empty):
-    model = license_scan.train()
-    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "He renewed his driving license in May.", "Der Hund kommt mit.", "", "Licensed under a private agreement of the two parties."]
-    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "plain")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
-    found = {n.paragraph: n for n in rows[1].notices}
-    assert [found[i].family for i in range(5)] == ["MIT", "CC-BY-NC", "GPL", "Apache-2.0", "proprietary"] and all(found[i].confirmed for i in range(5))
-    assert not any(n.confirmed for i, n in found.items() if i > 4) and 6 not in found
-    assert rows[2].notices == [] and rows[2].n_paragraphs == 0 and rows[3].notices == []
-    for i, n in found.items():  # the plan's arithmetic against the model's own
-        p = model.probabilities(lines[i])
+def plain_notices(model, text):
+    """Anchored lines and wrapped runs of them by the model's and the templates' own arithmetic."""
+    if text is None:
+        return []
+    lines = text.split("\n")
+    anchored = [i for i, x in enumerate(lines) if re.search(license_scan.ANCHOR_PATTERN, x)]
+    runs = []
+    for i in anchored:
+        if runs and i - runs[-1][1] <= 3 and all(x.strip(" \t\r\v\f") for x in lines[runs[-1][1] + 1 : i + 1]):
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+
+    def judge(first, last):
+        x = " ".join(lines[first : last + 1])
+        p = model.probabilities(x)
         best = int(p[:-1].argmax())
-        want = (model.families[best], p[best]) if p[best] >= model.threshold else ("unknown", p[-1])
-        assert n.family == want[0] and n.probability == pytest.approx(want[1], abs=1e-9)
-    assert license_scan.scan_licenses(odd).count() == 12 and license_scan.scan_licenses(empty).count() == 0
+        family = model.families[best] if p[best] >= model.threshold else "unknown"
+        alike = 0.0 if family == "unknown" else license_scan.template_similarity(x, family)
+        return first, last - first + 1, family, round(p[best] if family != "unknown" else p[-1], 9), round(alike, 9), alike >= license_scan.SIMILARITY
+
+    out = []
+    for first, last in runs:
+        own = [judge(i, i) for i in anchored if first <= i <= last]
+        whole = judge(first, last)
+        out += [whole] if last > first and whole[5] and not any(x[5] for x in own) else own
+    return out
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+def test_licences(spark, sf_dir, odd, empty, texts):
+    model = license_scan.train()
+    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "He renewed his driving license in May.", "Der Hund kommt mit.", "", "Licensed under a private agreement of the two parties.", "", "GPLv3"]
+    rows = [(1, "\n".join(lines)), (2, None), (3, "plain"), *((10 + k, f"first\n\n{t}\n\nlast words") for k, t in enumerate(WRAPPED.values()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    found = {n.paragraph: n for n in got[1].notices}
+    assert [found[i].family for i in (0, 1, 2, 3, 4, 10)] == ["MIT", "CC-BY-NC", "GPL", "Apache-2.0", "proprietary", "GPL"] and all(found[i].confirmed for i in (0, 1, 2, 3, 4, 10))
+    assert not any(n.confirmed for i, n in found.items() if 4 < i < 10) and 6 not in found
+    assert got[2].notices == [] and got[2].n_paragraphs == 0 and got[3].notices == []
+    assert [{n.family for n in got[10 + k].notices if n.confirmed} for k in range(4)] == [{f} for f in WRAPPED]
+    plain = lambda notices: [(n.paragraph, n.n_lines, n.family, round(n.probability, 9), round(n.similarity, 9), n.confirmed) for n in notices]
+    assert {i: plain(r.notices) for i, r in got.items()} == {i: plain_notices(model, t) for i, t in rows}
+    table = {r.doc_id: plain(r.notices) for r in license_scan.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert table == {i: plain_notices(model, t) for i, t in texts.items()} and sum(map(bool, table.values())) > 5
+    assert sorted(map(plain, (r.notices for r in license_scan.scan_licenses(odd).collect()))) == sorted(plain_notices(model, r.text) for r in odd.collect())
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_licence_templates_are_held_out():
+    """The templates, which the classifier doesn't learn from, are named rightly nine times in ten; other uses of the words are not."""
+    model = license_scan.train()
+    right = wrong = every = 0
+    for family, notices in license_scan.TEMPLATES.items():
+        for x in notices:
+            p = model.probabilities(x)
+            named = p[:-1].max() >= model.threshold
+            every, right, wrong = every + 1, right + (named and model.families[p[:-1].argmax()] == family), wrong + (named and model.families[p[:-1].argmax()] != family)
+    assert right >= 0.9 * every and wrong <= 0.02 * every
 
 
 # ---- 9 quality
@@ -428,10 +548,31 @@ def test_cutoffs_are_safe(spark):
     labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(20_000)] + [(None, 1), (1, None), (99_999, 0)], "doc_id long, quality int")
     cutoffs = quality_rules.choose_cutoffs(measured, labels)
     chosen = {(c.stratum, c.rule): c for c in cutoffs}
-    assert chosen[("*", "symbol_ratio")].cutoff == 0.5 and chosen[("*", "symbol_ratio")].bad_rejected == 2000
-    assert chosen[("*", "upper_ratio")].cutoff is None and chosen[("a", "symbol_ratio")].cutoff is None
+    assert chosen[(None, "symbol_ratio")].cutoff == 0.5 and chosen[(None, "symbol_ratio")].bad_rejected == 2000
+    assert chosen[(None, "upper_ratio")].cutoff is None and chosen[("a", "symbol_ratio")].cutoff is None
     kept = quality_rules.apply_cutoffs(measured, cutoffs)
     assert kept.where("NOT kept").count() == 2000 and quality_rules.apply_cutoffs(measured, []).where("NOT kept").count() == 0
+    other = measured.withColumn("stratum", F.lit("no labels"))  # nothing is known of it, so nothing more is rejected
+    assert quality_rules.apply_cutoffs(other, cutoffs).where("NOT kept").count() == 0
     few = quality_rules.choose_cutoffs(measured, labels.limit(100))
     assert all(c.cutoff is None for c in few)
     assert quality_rules.choose_cutoffs(measured.where("false"), labels) == []
+
+
+def test_cutoffs_equal_their_sql(spark):
+    """Limits so loose that cutoffs are chosen on the table: measures, choice and verdicts by SQL."""
+    sf_dir = "/root/testdata/sf0.01"
+    measured = quality_rules.measures(spark.read.parquet(f"{sf_dir}/documents.parquet"), stratum_col="lang")
+    cutoffs = quality_rules.choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), false_rejection=0.9, error=0.9)
+    assert len([c for c in cutoffs if c.cutoff is not None]) > 3
+    rows = quality_rules.apply_cutoffs(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    assert rows_of(rows) == rows_in_sql(connection(sf_dir), queries.op9_sql(0.9, 0.9))
+    assert rows.where("NOT kept AND NOT base_failed").count() > 10
+
+
+def test_quality_odd(odd, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (5, 1), (5, 1), (None, 0)], "doc_id long, quality int")
+    measured = quality_rules.measures(odd, stratum_col="lang")
+    rows = quality_rules.apply_cutoffs(measured, quality_rules.choose_cutoffs(measured, labels)).collect()
+    assert len(rows) == 12 and {r.doc_id for r in rows if r.kept} == set()
+    assert quality_rules.choose_cutoffs(quality_rules.measures(empty), labels) == []

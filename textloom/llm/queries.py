@@ -14,7 +14,7 @@ from textloom.llm.langid import identify
 from textloom.llm.license_scan import scan_licenses
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.mixing import plan, with_copies, word_count
-from textloom.llm.quality_rules import apply_cutoffs, choose_cutoffs, measures
+from textloom.llm.quality_rules import GRIDS, SYMBOLS, apply_cutoffs, choose_cutoffs, measures
 from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_count import token_counts
 from textloom.llm.token_output import read_token_ids, write_token_ids
@@ -41,7 +41,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     mix = plan(docs, word_count(F.col("text")), target_entropy=MIX_ENTROPY)
-    return with_copies(docs.select("doc_id", "source"), mix).select("doc_id", "source", F.round("weight", 6).alias("weight"), "copies")
+    return with_copies(docs.select("doc_id", "source"), mix).select("doc_id", "source", F.round("weight", 6).alias("weight"), "copies", "block_rank", F.round("first_place", 6).alias("first_place"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +133,13 @@ weights AS (
   SELECT source, tokens, pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, total FROM sizes, shares, chosen),
 quotas AS (SELECT *, floor(weight * total / tokens + 1e-9) AS epochs FROM weights),
 ranked AS (
-  SELECT source, block, sum(tokens) OVER (PARTITION BY source ORDER BY md5('order0|' || source || '|' || block)[:8], block) - tokens / 2 AS upto FROM cells),
+  SELECT source, block, row_number() OVER o - 1 AS block_rank, sum(tokens) OVER o - tokens / 2 AS upto FROM cells
+  WINDOW o AS (PARTITION BY source ORDER BY md5('order0|' || source || '|' || block)[:8], block)),
 taken AS (
-  SELECT r.source, r.block, q.weight, q.epochs + CASE WHEN q.weight * q.total - q.epochs * q.tokens > 0 AND r.upto <= q.weight * q.total - q.epochs * q.tokens THEN 1 ELSE 0 END AS copies
+  SELECT r.source, r.block, r.block_rank, r.upto / (q.weight * q.total) AS place, q.weight, q.epochs + CASE WHEN q.weight * q.total - q.epochs * q.tokens > 0 AND r.upto <= q.weight * q.total - q.epochs * q.tokens THEN 1 ELSE 0 END AS copies
   FROM ranked r JOIN quotas q ON r.source = q.source)
-SELECT w.doc_id, w.source, round(t.weight, 6) AS weight, t.copies::BIGINT AS copies FROM words w JOIN taken t ON w.source = t.source AND w.block = t.block
+SELECT w.doc_id, w.source, round(t.weight, 6) AS weight, t.copies::BIGINT AS copies, t.block_rank::BIGINT AS block_rank, round(t.place, 6) AS first_place
+FROM words w JOIN taken t ON w.source = t.source AND w.block = t.block
 """
 
 OP5_SQL = r"""
@@ -162,4 +164,48 @@ SELECT page_id, host, path, j.rule,
 FROM judged j LEFT JOIN rules r ON j.rule = r.rule
 """.replace("\\\\", "\\")
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL}
+
+
+def op9_sql(false_rejection: float = 0.05, error: float = 0.05) -> str:
+    """The quality query: measures, count table, exact binomial tails, fixed sequences and verdicts."""
+    grid = ", ".join(f"('{rule}', {at}, {i}, {c}::DOUBLE)" for at, (rule, cutoffs) in enumerate(GRIDS.items()) for i, c in enumerate(cutoffs))
+    return rf"""
+WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM repeated) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT w.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[{SYMBOLS}]')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+    len(regexp_extract_all(t, '[A-Z]')) AS upper, len(regexp_extract_all(t, '[a-zA-Z]')) AS letters, len(regexp_extract_all(t, '!')) AS bangs
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id LEFT JOIN lines l ON w.doc_id = l.doc_id),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+ratios AS (
+  SELECT *, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio,
+    upper / greatest(letters, 1) AS upper_ratio, bangs / greatest(n_words, 1) AS bang_ratio, word_chars / greatest(n_words, 1) AS long_words FROM based),
+grid(rule, rule_at, i, cutoff) AS (VALUES {grid}),
+valued AS (UNPIVOT (SELECT doc_id, lang, base_failed, symbol_ratio, dup_line_ratio, repeat_ratio, upper_ratio, bang_ratio, long_words FROM ratios)
+  ON symbol_ratio, dup_line_ratio, repeat_ratio, upper_ratio, bang_ratio, long_words INTO NAME rule VALUE v),
+cells AS (
+  SELECT lang, rule, i, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > cutoff) AS k, count(*) FILTER (quality = 0 AND v > cutoff) AS bad
+  FROM valued JOIN labels USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY ALL),
+tails AS (
+  SELECT *, n > 0 AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))
+      <= {error} / ((SELECT count(DISTINCT coalesce(lang, '')) FROM cells) * {len(GRIDS)}) AS safe
+  FROM cells, (SELECT {false_rejection} / {len(GRIDS)} AS p)),
+chosen AS (
+  SELECT * FROM (SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY i DESC) AS ok FROM tails) WHERE ok AND bad > k
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad - k DESC, i DESC) = 1),
+failed AS (
+  SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY g.rule_at) AS rules FROM valued v JOIN chosen c ON v.lang IS NOT DISTINCT FROM c.lang AND v.rule = c.rule
+  JOIN grid g ON g.rule = v.rule AND g.i = 0 WHERE v.v > c.cutoff GROUP BY v.doc_id)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.rules IS NULL AS kept, coalesce(f.rules, '') AS failed_rules
+FROM ratios r LEFT JOIN failed f ON r.doc_id = f.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op9_quality_rules": op9_sql()}
