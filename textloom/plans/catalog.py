@@ -24,6 +24,8 @@ from textloom.streaming import poll
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries over inline rows, whose SQL is the rows expected: (query, SQL). table_catalog.py has most of them over tables.
+EXAMPLES: dict[str, tuple[Query, str]] = {}
 
 #: A glossary of pieces that occur in the tables' text, one key being the start of another.
 GLOSSARY = {"the": "THE", "then": "THEN", "tion": "TION", "and": "AND", "ing": "ING"}
@@ -38,6 +40,8 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
+            if sql.startswith("SELECT * FROM (VALUES"):
+                EXAMPLES[f.__name__] = f, sql
         return f
 
     return register
