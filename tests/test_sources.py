@@ -137,3 +137,122 @@ def test_fetch(spark, tmp_path):
     assert http.fetch_snapshots(spark, urls, poll.CENTERS).count() == 2
     (tmp_path / "c.json").write_text('{\n"pincode": "1",\n"age_limit": 18}')
     assert http.read_config(spark, f"file://{tmp_path}/c.json", http.POLL_CONFIG) == {"pincode": "1", "age_limit": 18, "check_interval_minutes": None}
+
+
+def test_every_broken_file_has_an_error(spark, tmp_path):
+    import zipfile
+
+    whole = containers.build_docx([("Normal", [run("a")])])
+    (tmp_path / "good.docx").write_bytes(whole)
+    with zipfile.ZipFile(tmp_path / "none.docx", "w") as z:
+        z.writestr("other.xml", "<a/>")
+    with zipfile.ZipFile(tmp_path / "xml.docx", "w") as z:
+        z.writestr("word/document.xml", "<a>")
+    with zipfile.ZipFile(tmp_path / "body.docx", "w") as z:
+        z.writestr("word/document.xml", "<a/>")
+    with zipfile.ZipFile(tmp_path / "member.docx", "w") as z:
+        z.writestr("word/document.xml", "<a>some words that are stored</a>")
+    broken = (tmp_path / "member.docx").read_bytes().replace(b"some words", b"SOME words", 1)
+    (tmp_path / "member.docx").write_bytes(broken)
+    (tmp_path / "text.docx").write_bytes(b"no zip")
+    files = containers.read_files(spark, str(tmp_path), "*.docx")
+    failed = containers.failed_files(files, "docx_paragraphs").collect()
+    assert {(r.path.rpartition("/")[2], r.stage) for r in failed} == {("none.docx", "docx_paragraphs"), ("xml.docx", "docx_paragraphs"), ("body.docx", "docx_paragraphs"), ("member.docx", "member"), ("member.docx", "docx_paragraphs"), ("text.docx", "open")}
+    assert all(r.error for r in failed)
+    rows = {r.path.rpartition("/")[2] for r in containers.docx_paragraphs(files).collect()}
+    assert rows == {"good.docx"}  # every file has rows or an error
+    assert {r.stage for r in containers.failed_files(files).where("path LIKE '%none.docx'").collect()} == {"docx_paragraphs", "docx_blocks"}
+
+
+def test_edit_in_place(spark, tmp_path):
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"'
+    body = '<w:p w:rsid="1"><w:pPr><w:pStyle w:val="Own"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>one</w:t></w:r><w:r><w:t>two</w:t><w:drawing/></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>last</w:t></w:r></w:p><w:sectPr/>'
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/header1.xml", "<h/>")
+    (tmp_path / "same.docx").write_bytes(containers.build_docx([("Normal", [run("a")])]))
+    files = containers.read_files(spark, str(tmp_path), "*.docx")
+    path = files.where("path LIKE '%d.docx'").first().path
+    edits = spark.createDataFrame([(path, 0, ["X & Y", "two", "!"]), (path, 2, ["CELL"])], "path string, pos long, texts array<string>")
+    out = containers.edit_docx(files, edits)
+    texts = [(r.style, r.text) for r in containers.docx_paragraphs(out).where("path LIKE '%d.docx'").orderBy("pos").collect()]
+    assert texts == [("Own", "X & Ytwo!"), ("Normal", "last"), ("Normal", "CELL")]
+    new = zipfile.ZipFile(io.BytesIO(out.where("path LIKE '%d.docx'").first().content))
+    xml = new.read("word/document.xml").decode()
+    assert new.read("word/header1.xml") == b"<h/>" and "<w:drawing" in xml and "<w:b" in xml and "<w:sectPr" in xml and 'w:rsid="1"' in xml and 'xmlns:w14=' in xml and 'mc:Ignorable="w14"' in xml
+    assert bytes(out.where("path LIKE '%same.docx'").first().content) == (tmp_path / "same.docx").read_bytes()
+    # written over the old files, on the executors
+    assert containers.save_files(out.withColumn("to", F.regexp_replace("path", "^file:", "")), "to") == 2
+    again = containers.read_files(spark, str(tmp_path), "*.docx")
+    assert containers.docx_paragraphs(again).where("text = 'CELL'").count() == 1 and len(list(tmp_path.iterdir())) == 2
+
+
+@pytest.mark.parametrize("rule", crawl.SITES, ids=[r[0] for r in crawl.SITES])
+def test_site_rules(spark, rule):
+    """A page made from a site's rule gives its title, its container and its next page; a page without them the fallbacks."""
+    r = dict(zip(crawl.FIELDS, rule, strict=True))
+    attr = lambda a, v: f' {a}="{v}"' if a else ""
+    taken = f' {r["title_take"]}="The Title">x' if r["title_take"] != "text" else ">The Title"
+    title = f'<{r["title_tag"]}{attr(r["title_attr"], r["title_value"])}{taken}</{r["title_tag"]}>'
+    if r["title_scope"]:
+        title = f'<{r["title_tag"]}>other</{r["title_tag"]}><div class="{r["title_scope"]}">{title}</div>'
+    href = {"number": "/c/8.html", "slashes": "/a/b/8"}.get(r["url_mode"], "http://site/c/8" if r["url_mode"] == "absolute" else "/c/8")
+    href = href if r["must_contain"] in href else href + r["must_contain"]
+    label = {"next": "Next"}.get(r["next_label"], r["next_label"] or "on")
+    label = next((k for k, v in crawl.NEXT_LABELS.items() if v == "next"), label) if r["next_label"] == "next" else label
+    link = f'<a{attr(r["next_attr"], r["next_value"])} href="{href}">{label}</a>'
+    inner = f'<p>words</p><a href="/ad">ad</a>'
+    outer = f'<{r["container_tag"]}{attr(r["container_attr"], r["container_value"])}>{{}}</{r["container_tag"]}>'
+    if r["next_scope"] and r["next_scope"] == r["container_value"]:
+        body = outer.format(inner + link)
+    else:
+        body = outer.format(inner) + (f'<div class="{r["next_scope"]}">{link}</div>' if r["next_scope"] else link)
+    rows = [(r["site"], "http://site/c/7.html", f"<html>{title}{body}</html>", "http://site"), (r["site"], "http://site/x", "<html><title>Page</title></html>", "http://site")]
+    got = crawl.extract(spark.createDataFrame(rows, "site string, url string, html string, root string")).orderBy(F.col("url").desc()).collect()
+    page, bare = sorted(got, key=lambda x: x.url != "http://site/c/7.html")
+    assert page.title == "The Title"
+    assert page.content == f"<h1>The Title</h1>{outer.format('<p>words</p>')}"
+    assert page.next_url == (href if r["url_mode"] == "absolute" else f"http://site{href}")
+    assert bare.title == "Page" and bare.content is None and bare.next_url is None
+
+
+def test_no_shared_folder_on_a_cluster(spark):
+    """A session of a cluster without spark.checkpoint.dir is refused."""
+    from textloom.sources import shared
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        _jvm, _jsc = spark._jvm, spark._jsc
+        conf = Conf(**{"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_path(Session, "x")
+    Session.conf = Conf(**{"spark.master": "local[4]"})
+    assert shared.shared_path(Session, "x").startswith(shared.LOCAL_FALLBACK)
+
+
+def test_glossary_of_many_keys(spark):
+    """A trie of the keys finds what trying all keys by length finds."""
+    import random
+    import re
+
+    from textloom.operators.glossary_replace import glossary_hits, glossary_replace, token_pattern
+
+    rng = random.Random(3)
+    keys = sorted({"".join(rng.choices("ab.c+", k=rng.randint(1, 6))) for _ in range(400)})
+    texts = ["".join(rng.choices("ab.c+ d", k=60)) for _ in range(40)]
+    plain = re.compile("|".join(map(re.escape, sorted(keys, key=len, reverse=True))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    glossary = {k: f"<{i}>" for i, k in enumerate(keys)}
+    rows = df.select("id", glossary_replace(F.col("t"), glossary).alias("out"), glossary_hits(F.col("t"), glossary).alias("n")).collect()
+    assert {r.id: (r.out, r.n) for r in rows} == {i: plain.subn(lambda m: f" {glossary[m[0]]} ", t) for i, t in enumerate(texts)}
+    assert len(token_pattern([f"key{i}" for i in range(1000)])) < 8000

@@ -20,9 +20,10 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rn") -> D
     path = shared_path(spark, "ranked")
     rows = df.drop(name)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = spark.read.schema(rows.schema).parquet(path).select(F.col("_metadata.file_name").alias("_file")).groupBy("_file").count()
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")  # as text, part-100000 would come before part-99999
+    stored = spark.read.schema(rows.schema).parquet(path).select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = spark.read.schema(rows.schema).parquet(path).select(number.alias("_file")).groupBy("_file").count()
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     return stored.join(starts, "_file").withColumn(name, F.col("_base") + F.col("_row") + 1).drop("_file", "_row", "_base")

@@ -153,6 +153,5 @@ def union_with_breaks(rows: DataFrame, file_ord: str = "file_ord", pos: str = "p
     """file_ord, pos, kind, text: all rows, and a page break after each file but the last; order by the first two."""
     body = rows.select(file_ord, F.col(pos).cast("long").alias(pos), F.lit("row").alias("kind"), text)
     ends = rows.groupBy(file_ord).agg((F.max(pos) + 1).cast("long").alias(pos))
-    last = rows.agg(F.max(file_ord)).first()[0]
-    breaks = ends.where(F.col(file_ord) < F.lit(last))
+    breaks = ends.where(F.col(file_ord) < rows.agg(F.max(file_ord)).scalar())
     return body.unionByName(breaks.select(file_ord, pos, F.lit("break").alias("kind"), F.lit(None).cast("string").alias(text)))

@@ -666,5 +666,8 @@ w AS (SELECT start, 0 AS step, start AS node FROM s UNION ALL SELECT w.start, w.
 @query(f"WITH {WALK_SQL} SELECT start, step::BIGINT AS step, node FROM w")
 def linked_list_walk(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"))
-    edges = pages.select(F.col("page_id").alias("src"), F.lead("page_id").over(Window.partitionBy("lang").orderBy("page_id")).alias("dst"))
+    # the next page of a language is the next rank: no window over a language, which may hold most pages
+    ranked = global_rank(pages, ["lang", "page_id"], "n")
+    following = ranked.select(F.col("lang").alias("_lang"), (F.col("n") - 1).alias("_n"), F.col("page_id").alias("dst"))
+    edges = ranked.join(following, (F.col("n") == F.col("_n")) & (F.col("lang") == F.col("_lang"))).select(F.col("page_id").alias("src"), "dst")
     return crawl.walk(edges, pages.groupBy("lang").agg(F.min("page_id").alias("start")))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
@@ -40,12 +42,17 @@ NO_TITLE, NO_AUTHOR = "Untitled Book", "Unknown Author"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
-    """path, content of the files whose names fit the pattern; editors' lock files (~) are left out."""
+    """path, content of the files whose names fit the pattern; editors' lock files (~) and files of no bytes are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     return files.where(~F.startswith(name, F.lit("~"))).select("path", "content")
 
 
+#: What a broken file raises while it is opened or parsed.
+BROKEN = (zipfile.BadZipFile, ET.ParseError, zlib.error, LookupError, AttributeError, TypeError, ValueError, StopIteration, EOFError, OSError, RuntimeError)
+ERRORS = "path string, stage string, error string"
+
+
 def _map(files: DataFrame, rows_of, schema: str) -> DataFrame:
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
@@ -54,27 +61,45 @@ def _map(files: DataFrame, rows_of, schema: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     rows = [(path, *r) for r in rows_of(zipfile.ZipFile(io.BytesIO(content)))]
-                except (zipfile.BadZipFile, KeyError, ET.ParseError):  # a broken file has no rows; failed_files names it
+                except BROKEN:  # a broken file has no rows; failed_files gives the error of this very parse
                     rows = []
                 yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, schema)
 
 
-def failed_files(files: DataFrame) -> DataFrame:
-    """path of the files that are no readable container."""
+def failed_files(files: DataFrame, *stages: str) -> DataFrame:
+    """path, stage, error: what stands in the way of a file's rows, one row for each stage that fails.
+
+    Stages are names of readers in this module, by default those of the file's kind by its
+    suffix. Before them, "open" is a file that is no zip, and "member" one with a part that
+    can't be unpacked; later stages of the file are tried all the same.
+    """
+
+    def problems(path: str, content: bytes) -> Iterator[tuple[str, str]]:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(content))
+        except BROKEN as e:
+            yield "open", f"{type(e).__name__}: {e}"
+            return
+        try:
+            if bad := z.testzip():
+                yield "member", f"bad checksum of {bad}"
+        except BROKEN as e:
+            yield "member", f"{type(e).__name__}: {e}"
+        kind = path.rpartition(".")[2].lower()
+        for stage in stages or [s for s in READERS if s.startswith(kind)]:
+            try:
+                READERS[stage](z)
+            except BROKEN as e:
+                yield stage, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bad = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    zipfile.ZipFile(io.BytesIO(content)).testzip()
-                except zipfile.BadZipFile:
-                    bad.append(path)
-            yield pd.DataFrame({"path": bad}, dtype=object)
+            found = [(path, *p) for path, content in zip(batch["path"], batch["content"], strict=True) for p in problems(path, content)]
+            yield pd.DataFrame(found, columns=["path", "stage", "error"], dtype=object)
 
-    return files.mapInPandas(run, "path string")
+    return files.mapInPandas(run, ERRORS)
 
 
 def _flag(properties: ET.Element | None, name: str) -> bool | None:
@@ -88,11 +113,22 @@ def _value(properties: ET.Element | None, name: str, attribute: str = "val") ->
     return None if e is None else e.get(f"{W}{attribute}")
 
 
+_TEXTS = (f"{W}t", f"{W}tab", f"{W}br")
+
+
+def _run_texts(r: ET.Element) -> list[str]:
+    return [{f"{W}t": e.text or "", f"{W}tab": "\t", f"{W}br": "\n"}.get(e.tag, "") for e in r]
+
+
+def _all_paragraphs(document: ET.Element) -> list[ET.Element]:
+    body = document.find(f"{W}body")
+    return body.findall(f"{W}p") + [p for t in body.findall(f"{W}tbl") for p in t.iter(f"{W}p")]
+
+
 def _run(r: ET.Element) -> dict:
     p = r.find(f"{W}rPr")
     size = _value(p, "sz")
-    parts = [{f"{W}t": e.text or "", f"{W}tab": "\t", f"{W}br": "\n"}.get(e.tag, "") for e in r]
-    return {"text": "".join(parts), "bold": _flag(p, "b"), "italic": _flag(p, "i"), "underline": _flag(p, "u"), "style": _value(p, "rStyle"), "font_name": _value(p, "rFonts", "ascii"), "font_size": float(size) / 2 if size else None, "font_color": _value(p, "color")}
+    return {"text": "".join(_run_texts(r)), "bold": _flag(p, "b"), "italic": _flag(p, "i"), "underline": _flag(p, "u"), "style": _value(p, "rStyle"), "font_name": _value(p, "rFonts", "ascii"), "font_size": float(size) / 2 if size else None, "font_color": _value(p, "color")}
 
 
 def _styles(z: zipfile.ZipFile) -> dict[str, str]:
@@ -111,15 +147,53 @@ def _paragraph(p: ET.Element, styles: dict[str, str]) -> tuple[str, str, list[di
     return name, "".join(r["text"] for r in runs), runs
 
 
+def _paragraph_rows(z: zipfile.ZipFile) -> list[tuple]:
+    body, styles = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _styles(z)
+    found = [("body", p) for p in body.findall(f"{W}p")] + [("table", p) for t in body.findall(f"{W}tbl") for p in t.iter(f"{W}p")]
+    return [(pos, origin, *_paragraph(p, styles)) for pos, (origin, p) in enumerate(found)]
+
+
 def docx_paragraphs(files: DataFrame) -> DataFrame:
     """path, pos, origin, style, text, runs: body paragraphs in order, then those of table cells (row by row)."""
+    return _map(files, _paragraph_rows, PARAGRAPHS)
+
+
+def _block_rows(z: zipfile.ZipFile) -> list[tuple]:
+    body, styles = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _styles(z)
+    targets = {}
+    if "word/_rels/document.xml.rels" in z.namelist():
+        targets = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+    images: list[dict] = []
+
+    def span_run(r: ET.Element) -> dict:
+        run = {k: v for k, v in _run(r).items() if k in ("text", "bold", "italic", "underline")} | {"image": None}
+        blip = next(r.iter(f"{A}blip"), None)
+        if blip is not None and (target := targets.get(blip.get(f"{R}embed"))):
+            data = z.read(posixpath.normpath(posixpath.join("word", target)))
+            kind = target.rpartition(".")[2].lower().replace("jpeg", "jpg")
+            run["image"] = f"image_{hashlib.sha256(data).hexdigest()[:8]}.{kind}"
+            images.append({"name": run["image"], "mime": f"image/{kind.replace('jpg', 'jpeg')}", "content": data})
+        return run
+
+    def spans(p: ET.Element) -> list[dict]:
+        out = []
+        for child in p:
+            if child.tag == f"{W}r":
+                out.append({"href": None, "runs": [span_run(child)]})
+            elif child.tag == f"{W}hyperlink":
+                out.append({"href": targets.get(child.get(f"{R}id"), "#"), "runs": [span_run(r) for r in child.findall(f"{W}r")]})
+        return out
 
-    def rows(z: zipfile.ZipFile) -> list[tuple]:
-        body, styles = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _styles(z)
-        found = [("body", p) for p in body.findall(f"{W}p")] + [("table", p) for t in body.findall(f"{W}tbl") for p in t.iter(f"{W}p")]
-        return [(pos, origin, *_paragraph(p, styles)) for pos, (origin, p) in enumerate(found)]
-
-    return _map(files, rows, PARAGRAPHS)
+    out = []
+    for pos, e in enumerate(x for x in body if x.tag in (f"{W}p", f"{W}tbl")):
+        images = []
+        if e.tag == f"{W}tbl":
+            cells = [[[s for p in c.findall(f"{W}p") for s in spans(p)] for c in r.findall(f"{W}tc")] for r in e.findall(f"{W}tr")]
+            out.append((pos, "tbl", None, "", [], cells, images))
+        else:
+            style, text, _ = _paragraph(e, styles)
+            out.append((pos, "p", style, text, spans(e), [], images))
+    return out
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
@@ -129,55 +203,17 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     missing). rows holds a table's cells as spans. A run's first image stands for the run; its
     name is made from its content, so that it is the same every time.
     """
+    return _map(files, _block_rows, BLOCKS)
 
-    def rows(z: zipfile.ZipFile) -> list[tuple]:
-        body, styles = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _styles(z)
-        targets = {}
-        if "word/_rels/document.xml.rels" in z.namelist():
-            targets = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
-        images: list[dict] = []
-
-        def span_run(r: ET.Element) -> dict:
-            run = {k: v for k, v in _run(r).items() if k in ("text", "bold", "italic", "underline")} | {"image": None}
-            blip = next(r.iter(f"{A}blip"), None)
-            if blip is not None and (target := targets.get(blip.get(f"{R}embed"))):
-                data = z.read(posixpath.normpath(posixpath.join("word", target)))
-                kind = target.rpartition(".")[2].lower().replace("jpeg", "jpg")
-                run["image"] = f"image_{hashlib.sha256(data).hexdigest()[:8]}.{kind}"
-                images.append({"name": run["image"], "mime": f"image/{kind.replace('jpg', 'jpeg')}", "content": data})
-            return run
-
-        def spans(p: ET.Element) -> list[dict]:
-            out = []
-            for child in p:
-                if child.tag == f"{W}r":
-                    out.append({"href": None, "runs": [span_run(child)]})
-                elif child.tag == f"{W}hyperlink":
-                    out.append({"href": targets.get(child.get(f"{R}id"), "#"), "runs": [span_run(r) for r in child.findall(f"{W}r")]})
-            return out
 
-        out = []
-        for pos, e in enumerate(x for x in body if x.tag in (f"{W}p", f"{W}tbl")):
-            images = []
-            if e.tag == f"{W}tbl":
-                cells = [[[s for p in c.findall(f"{W}p") for s in spans(p)] for c in r.findall(f"{W}tc")] for r in e.findall(f"{W}tr")]
-                out.append((pos, "tbl", None, "", [], cells, images))
-            else:
-                style, text, _ = _paragraph(e, styles)
-                out.append((pos, "p", style, text, spans(e), [], images))
-        return out
-
-    return _map(files, rows, BLOCKS)
+def _property_rows(z: zipfile.ZipFile) -> list[tuple]:
+    core = ET.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else ET.Element("none")
+    return [(core.findtext(f"{DC}title") or NO_TITLE, core.findtext(f"{DC}creator") or NO_AUTHOR)]
 
 
 def docx_properties(files: DataFrame) -> DataFrame:
     """path, title, author, with defaults for missing or empty ones."""
-
-    def rows(z: zipfile.ZipFile) -> list[tuple]:
-        core = ET.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else ET.Element("none")
-        return [(core.findtext(f"{DC}title") or NO_TITLE, core.findtext(f"{DC}creator") or NO_AUTHOR)]
-
-    return _map(files, rows, PROPERTIES)
+    return _map(files, _property_rows, PROPERTIES)
 
 
 def _package(z: zipfile.ZipFile) -> tuple[ET.Element, str]:
@@ -185,37 +221,45 @@ def _package(z: zipfile.ZipFile) -> tuple[ET.Element, str]:
     return ET.fromstring(z.read(where)), posixpath.dirname(where)
 
 
+def _item_rows(z: zipfile.ZipFile) -> list[tuple]:
+    package, base = _package(z)
+    names = set(z.namelist())
+    return [(i.get("id"), i.get("href"), i.get("media-type"), z.read(at) if (at := posixpath.normpath(posixpath.join(base, i.get("href")))) in names else None) for i in package.iter(f"{OPF}item")]
+
+
 def epub_items(files: DataFrame) -> DataFrame:
     """path, item_id, href, media_type, content: the manifest; items without a file have null content."""
+    return _map(files, _item_rows, ITEMS)
 
-    def rows(z: zipfile.ZipFile) -> list[tuple]:
-        package, base = _package(z)
-        names = set(z.namelist())
-        return [(i.get("id"), i.get("href"), i.get("media-type"), z.read(at) if (at := posixpath.normpath(posixpath.join(base, i.get("href")))) in names else None) for i in package.iter(f"{OPF}item")]
 
-    return _map(files, rows, ITEMS)
+def _spine_rows(z: zipfile.ZipFile) -> list[tuple]:
+    return [(n, i.get("idref")) for n, i in enumerate(_package(z)[0].iter(f"{OPF}itemref"))]
 
 
 def epub_spine(files: DataFrame) -> DataFrame:
     """path, pos, item_id in reading order."""
-    return _map(files, lambda z: [(n, i.get("idref")) for n, i in enumerate(_package(z)[0].iter(f"{OPF}itemref"))], SPINE)
+    return _map(files, _spine_rows, SPINE)
+
+
+def _toc_rows(z: zipfile.ZipFile) -> list[tuple]:
+    package, base = _package(z)
+    ncx = next((i.get("href") for i in package.iter(f"{OPF}item") if i.get("media-type") == "application/x-dtbncx+xml"), None)
+    if ncx is None:
+        return []
+    top = ET.fromstring(z.read(posixpath.normpath(posixpath.join(base, ncx)))).find(f"{NCX}navMap")
+    points = []
+    for p in top.findall(f"{NCX}navPoint"):
+        points += p.findall(f"{NCX}navPoint") or [p]
+    return [(n, "".join(p.find(f"{NCX}navLabel").itertext()).strip(), p.find(f"{NCX}content").get("src")) for n, p in enumerate(points)]
 
 
 def epub_toc(files: DataFrame) -> DataFrame:
     """path, pos, title, href: top-level entries and those directly below one; deeper ones are left out."""
+    return _map(files, _toc_rows, TOC)
 
-    def rows(z: zipfile.ZipFile) -> list[tuple]:
-        package, base = _package(z)
-        ncx = next((i.get("href") for i in package.iter(f"{OPF}item") if i.get("media-type") == "application/x-dtbncx+xml"), None)
-        if ncx is None:
-            return []
-        top = ET.fromstring(z.read(posixpath.normpath(posixpath.join(base, ncx)))).find(f"{NCX}navMap")
-        points = []
-        for p in top.findall(f"{NCX}navPoint"):
-            points += p.findall(f"{NCX}navPoint") or [p]
-        return [(n, "".join(p.find(f"{NCX}navLabel").itertext()).strip(), p.find(f"{NCX}content").get("src")) for n, p in enumerate(points)]
 
-    return _map(files, rows, TOC)
+#: The parse of each reader, by the name of the reader.
+READERS = {"docx_paragraphs": _paragraph_rows, "docx_blocks": _block_rows, "docx_properties": _property_rows, "epub_items": _item_rows, "epub_spine": _spine_rows, "epub_toc": _toc_rows}
 
 
 def decode_text(files: DataFrame, encoding: str = "cp437", content: str = "content") -> DataFrame:
@@ -309,14 +353,82 @@ def to_epub(chapters: DataFrame, book: str = "book_id", order: str = "chap_id")
     return chapters.groupBy(book).applyInPandas(build, f"{book} {kind}, content binary")
 
 
+def edit_docx(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content: the documents with new run texts, all other parts and formats as they were.
+
+    files has path and content; edits has path, pos (of docx_paragraphs) and texts (array<string>, one
+    for each run): extra texts join the last run, runs without one become empty. A document
+    without edits comes out byte by byte the same; one that can't be parsed has null content.
+    """
+    by_path = edits.groupBy("path").agg(F.collect_list(F.struct("pos", "texts")).alias("edits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for content, own in zip(batch["content"], batch["edits"], strict=True):
+                try:
+                    out.append(content if own is None else _edited(content, {e["pos"]: list(e["texts"]) for e in own}))
+                except BROKEN:
+                    out.append(None)
+            yield pd.DataFrame({"path": batch["path"], "content": out})
+
+    return files.select("path", "content").join(by_path, "path", "left").mapInPandas(run, "path string, content binary")
+
+
+def _edited(content: bytes, edits: dict[int, list[str]]) -> bytes:
+    z = zipfile.ZipFile(io.BytesIO(content))
+    source = z.read("word/document.xml")
+    spaces = dict(pair for _, pair in ET.iterparse(io.BytesIO(source), events=["start-ns"]))
+    for prefix, uri in spaces.items():
+        if prefix and not (prefix.startswith("ns") and prefix[2:].isdigit()):
+            ET.register_namespace(prefix, uri)
+    root = ET.fromstring(source)
+    for pos, p in enumerate(_all_paragraphs(root)):
+        runs = list(p.iter(f"{W}r"))
+        if pos not in edits or not runs:
+            continue
+        texts = (edits[pos] + [""] * len(runs))[: len(runs) - 1] + ["".join(edits[pos][len(runs) - 1 :])]
+        for r, t in zip(runs, texts, strict=True):
+            if "".join(_run_texts(r)) == t:
+                continue
+            for e in [e for e in r if e.tag in _TEXTS]:
+                r.remove(e)
+            own = ET.SubElement(r, f"{W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+            own.text = t
+    body = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    # prefixes that only attribute values name, such as those to ignore, have to stay declared
+    start = body.index(b"<", body.index(b"?>"))
+    head = body[start : body.index(b">", start)]
+    lost = "".join(f" xmlns:{k}={quoteattr(u)}" for k, u in spaces.items() if k and f"xmlns:{k}=".encode() not in head)
+    at = start + len(head.split(b" ")[0].rstrip(b"/"))
+    body = body[:at] + lost.encode() + body[at:]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as new:
+        for info in z.infolist():
+            new.writestr(info, body if info.filename == "word/document.xml" else z.read(info.filename), info.compress_type)
+    return out.getvalue()
+
+
 def save_files(files: DataFrame, name: str, content: str = "content") -> int:
-    """Write each row's bytes to the path in column `name`, file by file from the driver, one row in memory; for small exports."""
-    spark = files.sparkSession
-    jvm, n = spark._jvm, 0
-    for r in files.select(name, content).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(r[0])
-        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        stream.write(bytearray(r[1]))
-        stream.close()
-        n += 1
-    return n
+    """Write each row's bytes to the path or URI in column `name`, on the executors; the number of files written.
+
+    A file is written beside its place and then moved there, so an old one is whole until the
+    new one is, and a repeated task does no harm. The places must be reachable from every
+    executor by a file system that pyarrow knows. Rows without name or content are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, data in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+                store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                beside = f"{at}.{uuid.uuid4().hex}"
+                store.create_dir(posixpath.dirname(at), recursive=True)
+                with store.open_output_stream(beside) as out:
+                    out.write(data)
+                store.move(beside, at)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    some = files.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+    return some.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -51,9 +51,8 @@ def conflicts(glossaries: DataFrame, faithful: bool = True) -> DataFrame:
     The winner comes from a pre-aggregated minimum joined back, not from a window over the key.
     """
     won = merge(glossaries).select("k", F.col("v").alias("_won"), F.col("file_ord").alias("_own"))
-    first = glossaries.agg(F.min("file_ord")).first()[0]
     rows = glossaries.join(won, "k").where("v <> _won")
-    filed = F.lit(first) if faithful else F.col("_own")
+    filed = glossaries.agg(F.min("file_ord")).scalar() if faithful else F.col("_own")
     winners = rows.select("k", "_won", "_own").distinct().select("k", filed.alias("file_ord"), F.col("_won").alias("v"))
     return rows.select("k", "file_ord", "v").unionByName(winners)
 

@@ -6,13 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and all its tasks run in one process, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; it goes when the driver's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """A new path in the folder that spark.checkpoint.dir names; it goes when the driver's JVM ends.
+
+    A session without that setting is refused unless its master is local: on a cluster a folder
+    of one machine's own would lose tables.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
+        base = LOCAL_FALLBACK
     path = f"{base.rstrip('/')}/textloom/{tag}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
