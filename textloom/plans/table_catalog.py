@@ -14,7 +14,8 @@ from textloom.plans.catalog import EVENT_GLOSSARY_SQL, _event_glossary, query, t
 from textloom.sources import glossary
 from textloom.streaming import poll
 
-KEY = F.col("p_partkey")
+def _key() -> Column:
+    return F.col("p_partkey")
 
 
 def _pick(n: Column, *cases: Column | str | None) -> Column:
@@ -61,24 +62,24 @@ def _numeral(n: Column) -> Column:
 
 @query("SELECT p_partkey, nullif(p_partkey, 0) AS n FROM part")
 def words_to_number(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", numbers.words_to_number(_spelled(KEY)).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.words_to_number(_spelled(_key())).alias("n"))
 
 
 @query("SELECT p_partkey, 'Chapter ' || (p_partkey + 1) || ': ' || p_name AS out FROM part")
 def chapter_words(spark, sf_dir):
-    line = F.concat(F.lit("Chapter "), F.replace(_spelled(KEY + 1), F.lit(" "), F.lit("-")), F.lit(": "), "p_name")
+    line = F.concat(F.lit("Chapter "), F.replace(_spelled(_key() + 1), F.lit(" "), F.lit("-")), F.lit(": "), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", numbers.rewrite_chapter_words(line).alias("out"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 3 THEN -p_partkey ELSE p_partkey END::DOUBLE AS n FROM part")
 def cjk_to_number(spark, sf_dir):
-    text = F.concat(F.when(KEY % 7 == 3, F.lit("负")).otherwise(F.lit("")), _numeral(KEY))
+    text = F.concat(F.when(_key() % 7 == 3, F.lit("负")).otherwise(F.lit("")), _numeral(_key()))
     return table(spark, sf_dir, "part").select("p_partkey", numbers.cjk_to_number(text).alias("n"))
 
 
 @query("SELECT p_partkey, p_name || ' CHAPTER ' || p_partkey || ': ' || p_type || ' CHAPTER' || p_size || ':' AS out FROM part")
 def chapter_numerals(spark, sf_dir):
-    line = F.concat("p_name", F.lit(" CHAPTER "), _numeral(KEY), F.lit(": "), "p_type", F.lit(" CHAPTER"), _numeral(F.col("p_size")), F.lit(":"))
+    line = F.concat("p_name", F.lit(" CHAPTER "), _numeral(_key()), F.lit(": "), "p_type", F.lit(" CHAPTER"), _numeral(F.col("p_size")), F.lit(":"))
     return table(spark, sf_dir, "part").select("p_partkey", numbers.rewrite_chapter_numerals(line).alias("out"))
 
 
@@ -86,7 +87,7 @@ def chapter_numerals(spark, sf_dir):
   SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || '. ' || p_name WHEN 1 THEN p_size || ' ' || p_name WHEN 2 THEN p_size || '.' || p_partkey || ' ' || p_name WHEN 3 THEN p_size || ': ' || p_name ELSE p_name || ' ' || p_size END AS t FROM part)""")
 def number_heading_colon(spark, sf_dir):
     size, name = F.col("p_size").cast("string"), F.col("p_name")
-    t = _pick(KEY % 5, F.concat(size, F.lit(". "), name), F.concat(size, F.lit(" "), name), F.concat(size, F.lit("."), KEY.cast("string"), F.lit(" "), name), F.concat(size, F.lit(": "), name), F.concat(name, F.lit(" "), size))
+    t = _pick(_key() % 5, F.concat(size, F.lit(". "), name), F.concat(size, F.lit(" "), name), F.concat(size, F.lit("."), _key().cast("string"), F.lit(" "), name), F.concat(size, F.lit(": "), name), F.concat(name, F.lit(" "), size))
     return table(spark, sf_dir, "part").select("p_partkey", numbers.number_heading_colon(t).alias("out"))
 
 
@@ -94,7 +95,7 @@ def number_heading_colon(spark, sf_dir):
 def number_heading_runs(spark, sf_dir):
     size, name = F.col("p_size").cast("string"), F.col("p_name")
     cases = [F.array(size, F.concat(F.lit(". "), name)), F.array(F.concat(size, F.lit(".")), F.concat(F.lit(" "), name)), F.array(F.concat(size, F.lit(". "), name)), F.array(name, size)]
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(runs.number_heading_runs(_pick(KEY % 4, *cases)), "|").alias("runs"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(runs.number_heading_runs(_pick(_key() % 4, *cases)), "|").alias("runs"))
 
 
 @query("SELECT p_partkey, round_even(((p_size * 8.0 - 10) * (100.0 / 50) - 100 - 31 - p_size / 4.0) / 2, 0)::DOUBLE AS base FROM part")
@@ -176,8 +177,8 @@ def punct_normalise_full(spark, sf_dir):
 FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || '-' WHEN 2 THEN p_name || ' — ' WHEN 3 THEN p_name || ' ' ELSE '' END AS a,
   CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN ', ' || p_type WHEN 2 THEN ' ' || p_type ELSE ' ' END AS b FROM part)""")
 def smart_spacing(spark, sf_dir):
-    a = _pick(KEY % 5, F.col("p_name"), F.concat("p_name", F.lit("-")), F.concat("p_name", F.lit(" — ")), F.concat("p_name", F.lit(" ")), "")
-    b = _pick(KEY % 4, F.col("p_type"), F.concat(F.lit(", "), "p_type"), F.concat(F.lit(" "), "p_type"), " ")
+    a = _pick(_key() % 5, F.col("p_name"), F.concat("p_name", F.lit("-")), F.concat("p_name", F.lit(" — ")), F.concat("p_name", F.lit(" ")), "")
+    b = _pick(_key() % 4, F.col("p_type"), F.concat(F.lit(", "), "p_type"), F.concat(F.lit(" "), "p_type"), " ")
     return table(spark, sf_dir, "part").select("p_partkey", strings.smart_join(a, b).alias("text"))
 
 
@@ -233,7 +234,7 @@ def text_wrap(spark, sf_dir):
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_name || ' ' END AS r1, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE ' ' || p_type || ' ' END AS r2 FROM part)""")
 def run_trim_ends(spark, sf_dir):
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    r = F.array(F.when(KEY % 3 == 0, "").otherwise(padded("p_name")), F.when(KEY % 3 == 1, "").otherwise(padded("p_type")))
+    r = F.array(F.when(_key() % 3 == 0, "").otherwise(padded("p_name")), F.when(_key() % 3 == 1, "").otherwise(padded("p_type")))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(runs.trim_ends(r), "|").alias("runs"))
 
 
@@ -252,7 +253,7 @@ def run_length_styles(spark, sf_dir):
 @query("""SELECT p_partkey, CASE len(n) WHEN 0 THEN '|' WHEN 1 THEN n[1] || '|' ELSE n[1] || '|' || array_to_string(n[2:], '') END AS runs
 FROM (SELECT p_partkey, [p_type, p_brand, p_name][:p_partkey % 4] AS n FROM part)""")
 def run_write_back(spark, sf_dir):
-    new = F.slice(F.array("p_type", "p_brand", "p_name"), F.lit(1), (KEY % 4).cast("int"))
+    new = F.slice(F.array("p_type", "p_brand", "p_name"), F.lit(1), (_key() % 4).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(runs.write_back(F.split("p_name", " "), new), "|").alias("runs"))
 
 
@@ -261,14 +262,14 @@ def copy_run_format(spark, sf_dir):
     none = lambda kind: F.lit(None).cast(kind)
     flags = [none("boolean").alias(f) for f in ("italic", "underline", "strike", "superscript", "subscript")]
     target = F.struct(F.lit(True).alias("bold"), *flags, F.col("p_brand").alias("name"), F.lit(10.0).alias("size"), F.col("p_type").alias("color"))
-    source = F.struct(F.nullif(KEY % 2 == 0, F.lit(False)).alias("bold"), *flags, F.when(KEY % 3 == 0, F.col("p_type")).alias("name"), F.when(KEY % 5 == 0, F.col("p_size").cast("double")).alias("size"), none("string").alias("color"))
+    source = F.struct(F.nullif(_key() % 2 == 0, F.lit(False)).alias("bold"), *flags, F.when(_key() % 3 == 0, F.col("p_type")).alias("name"), F.when(_key() % 5 == 0, F.col("p_size").cast("double")).alias("size"), none("string").alias("color"))
     return table(spark, sf_dir, "part").withColumn("c", runs.copy_format(target, source)).select("p_partkey", "c.bold", "c.name", "c.size", "c.color")
 
 
 @query("""SELECT p_partkey, CASE WHEN i <= a THEN 0 WHEN i <= a + b THEN 1 WHEN i <= a + b + c THEN 2 END::BIGINT AS run, CASE WHEN i <= a THEN i WHEN i <= a + b THEN i - a WHEN i <= a + b + c THEN i - a - b END::BIGINT AS pos
 FROM (SELECT p_partkey, p_partkey % 30 AS i, length(p_name) AS a, length(p_type) AS b, length(p_brand) AS c FROM part)""")
 def locate_characters(spark, sf_dir):
-    at = runs.locate(F.array("p_name", "p_type", "p_brand"), (KEY % 30).cast("int"))
+    at = runs.locate(F.array("p_name", "p_type", "p_brand"), (_key() % 30).cast("int"))
     return table(spark, sf_dir, "part").withColumn("x", at).select("p_partkey", F.col("x.run").cast("long").alias("run"), F.col("x.offset").cast("long").alias("pos"))
 
 
@@ -283,15 +284,15 @@ def collapse_heading_runs(spark, sf_dir):
 @query("""SELECT p_partkey, upper(left(t, 1)) || lower(t[2:]) AS label, CASE WHEN contains(n, '_') THEN replace(replace(n[instr(n, '_') + 1:], '.xhtml', ''), '_', ' ') END AS title
 FROM (SELECT p_partkey, n, replace(replace(n, '.xhtml', ''), '_', ' ') AS t FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || '_' || replace(upper(p_name), ' ', '_') || '.xhtml' WHEN 1 THEN 'chapter_' || p_partkey || '.xhtml' ELSE upper(p_type) || '.xhtml' END AS n FROM part))""")
 def filename_to_label(spark, sf_dir):
-    key = KEY.cast("string")
-    name = _pick(KEY % 3, F.concat(key, F.lit("_"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("_")), F.lit(".xhtml")), F.concat(F.lit("chapter_"), key, F.lit(".xhtml")), F.concat(F.upper("p_type"), F.lit(".xhtml")))
+    key = _key().cast("string")
+    name = _pick(_key() % 3, F.concat(key, F.lit("_"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("_")), F.lit(".xhtml")), F.concat(F.lit("chapter_"), key, F.lit(".xhtml")), F.concat(F.upper("p_type"), F.lit(".xhtml")))
     return table(spark, sf_dir, "part").select("p_partkey", strings.filename_to_label(name).alias("label"), strings.filename_to_title(name).alias("title"))
 
 
 @query("""SELECT p_partkey, contains(n, 'chapter') AS chapter, NOT contains(n, 'Cover.xhtml') AS not_cover, ends_with(n, '.docx') AND NOT starts_with(n, '~') AS document
 FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'chapter_' || p_partkey || '.xhtml' WHEN 1 THEN 'Cover.xhtml' WHEN 2 THEN p_name || '.docx' ELSE '~$' || p_name || '.docx' END AS n FROM part)""")
 def name_filters(spark, sf_dir):
-    name = _pick(KEY % 4, F.concat(F.lit("chapter_"), KEY.cast("string"), F.lit(".xhtml")), "Cover.xhtml", F.concat("p_name", F.lit(".docx")), F.concat(F.lit("~$"), "p_name", F.lit(".docx")))
+    name = _pick(_key() % 4, F.concat(F.lit("chapter_"), _key().cast("string"), F.lit(".xhtml")), "Cover.xhtml", F.concat("p_name", F.lit(".docx")), F.concat(F.lit("~$"), "p_name", F.lit(".docx")))
     rows = table(spark, sf_dir, "part").withColumn("name", name)
     name = F.col("name")
     return rows.select("p_partkey", F.contains(name, F.lit("chapter")).alias("chapter"), (~F.contains(name, F.lit("Cover.xhtml"))).alias("not_cover"), (F.endswith(name, F.lit(".docx")) & ~F.startswith(name, F.lit("~"))).alias("document"))
@@ -302,17 +303,17 @@ def name_filters(spark, sf_dir):
   '<a href="' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '#' END || '">' || p_name || '</a>' AS link,
   CASE p_partkey % 4 WHEN 0 THEN '<h1>' || p_name || '</h1>' WHEN 1 THEN '<h2>' || p_name || '</h2>' WHEN 2 THEN '<li>' || p_name || '</li>' ELSE '<p>' || p_name || '</p>' END AS block FROM part""")
 def html_builders(spark, sf_dir):
-    run = html.format_run(F.concat("p_name", F.lit("<&>")), KEY % 2 == 0, KEY % 3 == 0, F.when(KEY % 5 == 0, F.lit(True)))
-    link = html.link(F.col("p_name"), F.when(KEY % 2 == 0, F.col("p_brand")))
-    style = _pick(KEY % 4, "Heading 1", "heading 2", "List Bullet", "Normal")
+    run = html.format_run(F.concat("p_name", F.lit("<&>")), _key() % 2 == 0, _key() % 3 == 0, F.when(_key() % 5 == 0, F.lit(True)))
+    link = html.link(F.col("p_name"), F.when(_key() % 2 == 0, F.col("p_brand")))
+    style = _pick(_key() % 4, "Heading 1", "heading 2", "List Bullet", "Normal")
     return table(spark, sf_dir, "part").select("p_partkey", run.alias("run"), link.alias("link"), html.block(style, F.col("p_name")).alias("block"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN n // 65536 END AS r, CASE WHEN p_partkey % 4 < 3 THEN n // 256 % 256 END AS g, CASE WHEN p_partkey % 4 < 3 THEN n % 256 END AS b
 FROM (SELECT p_partkey, p_partkey * 7919 % 16777216 AS n FROM part)""")
 def font_colours(spark, sf_dir):
-    h = F.lpad(F.hex(KEY * 7919 % 16777216), 6, "0")
-    colour = _pick(KEY % 4, F.concat(F.lit("0x"), h), F.lower(h), F.concat(F.lit("RGBColor("), h, F.lit(")")), F.col("p_name"))
+    h = F.lpad(F.hex(_key() * 7919 % 16777216), 6, "0")
+    colour = _pick(_key() % 4, F.concat(F.lit("0x"), h), F.lower(h), F.concat(F.lit("RGBColor("), h, F.lit(")")), F.col("p_name"))
     return table(spark, sf_dir, "part").withColumn("x", strings.rgb(colour)).select("p_partkey", *(F.col(f"x.{k}").cast("long").alias(k) for k in "rgb"))
 
 
