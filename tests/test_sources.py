@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.services import external, remove_language, stop_word_language
+from textloom.functions.services import external, pages_without_language, paragraph_edits, remove_language, stop_word_language
 from textloom.functions import html
 from textloom.operators import chapters, report
 from textloom.plans import crawl
@@ -62,7 +62,7 @@ def test_texts(spark, tmp_path):
 def test_blur(spark, tmp_path):
     (tmp_path / "flat.pgm").write_bytes(b"P5 4 4 255\n" + bytes([9] * 16))
     (tmp_path / "sharp.pgm").write_bytes(b"P5 4 4 255\n" + bytes([0, 255] * 8))
-    found = images.deletion_manifest(images.read_pgm(containers.read_files(spark, str(tmp_path), "*.pgm"))).collect()
+    found = images.deletion_manifest(images.read_grey(containers.read_files(spark, str(tmp_path), "*.pgm"))).collect()
     assert [r.path.rpartition("/")[2] for r in found] == ["flat.pgm"]
 
 
@@ -256,3 +256,79 @@ def test_glossary_of_many_keys(spark):
     rows = df.select("id", glossary_replace(F.col("t"), glossary).alias("out"), glossary_hits(F.col("t"), glossary).alias("n")).collect()
     assert {r.id: (r.out, r.n) for r in rows} == {i: plain.subn(lambda m: f" {glossary[m[0]]} ", t) for i, t in enumerate(texts)}
     assert len(token_pattern([f"key{i}" for i in range(1000)])) < 8000
+
+
+def test_png(spark):
+    """All five row filters, grey, colour, palette and alpha, against the pixels that were packed."""
+    import random
+    import struct
+    import zlib
+
+    rng = random.Random(1)
+
+    def png(width, height, kind, rows, palette=b""):
+        step = images._SAMPLES[kind]
+        packed, above = b"", [0] * (width * step)
+        for y, row in enumerate(rows):
+            f, out = y % 5, []
+            for i, v in enumerate(row):
+                a, b, c = row[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+                p = a + b - c
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out.append((v - (0, a, b, (a + b) // 2, paeth)[f]) % 256)
+            packed, above = packed + bytes([f, *out]), row
+        chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
+
+    grey = lambda r, g, b: float((299 * r + 587 * g + 114 * b + 500) // 1000)
+    files, want = [], {}
+    for kind, step in images._SAMPLES.items():
+        rows = [[rng.randrange(4 if kind == 3 else 256) for _ in range(7 * step)] for _ in range(11)]
+        palette = bytes(rng.randrange(256) for _ in range(12)) if kind == 3 else b""
+        files.append((str(kind), bytearray(png(7, 11, kind, rows, palette))))
+        pixel = lambda row, x: tuple(palette[3 * row[x] : 3 * row[x] + 3]) if kind == 3 else tuple(row[x * step : x * step + step])  # noqa: B023, E731
+        want[str(kind)] = [[grey(*p[:3]) if len(p := pixel(row, x)) >= 3 else float(p[0]) for x in range(7)] for row in rows]
+    files += [("jpeg", bytearray(b"\xff\xd8\xff")), ("cut", files[0][1][:60]), ("none", None)]
+    got = {r.path: r.pixels for r in images.read_grey(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == want | {"jpeg": None, "cut": None, "none": None}
+
+
+def test_language_and_grammar_over_whole_files(spark, tmp_path):
+    pages = spark.createDataFrame([("p", "<p>The cat is on the roof. <b>Le chat est dans la maison</b></p><script>le la les</script>"), ("q", None)], "path string, html string")
+    assert [r.html for r in pages_without_language(pages, "fr").orderBy("path").collect()] == ["<p>The cat is on the roof .<b></b></p><script>le la les</script>", None]
+    (tmp_path / "x.docx").write_bytes(containers.build_docx([("Normal", [run("teh "), run("end")]), ("Normal", [run("fine")]), ("Normal", [run(" ")])]))
+    files = containers.read_files(spark, str(tmp_path), "*.docx")
+    edits = paragraph_edits(containers.docx_paragraphs(files), external(lambda t: t.replace("teh", "the")))
+    assert [(r.pos, r.texts) for r in edits.collect()] == [(0, ["the end"])]
+    assert [r.text for r in containers.docx_paragraphs(containers.edit_docx(files, edits)).orderBy("pos").collect()] == ["the end", "fine", " "]
+
+
+def test_cover(spark):
+    rows = spark.createDataFrame([(1, 0, "A", "<p>x</p>", "T", "A", bytearray(b"\x89PNG1")), (2, 0, "A", "<p>x</p>", "T", "A", None)], "book_id long, chap_id long, title string, html string, book_title string, author string, cover binary")
+    books = containers.to_epub(rows).withColumn("path", F.col("book_id").cast("string"))
+    items = {(r.path, r.href): r.content for r in containers.epub_items(books).collect()}
+    assert bytes(items["1", "cover.png"]) == b"\x89PNG1" and ("2", "cover.xhtml") not in items
+    spine = [r.item_id for r in containers.epub_spine(books.where("path = '1'")).orderBy("pos").collect()]
+    assert spine == ["cover", "nav", "c0"]
+
+
+@pytest.mark.parametrize("kind", ["join", "reflow"])
+def test_stream_scans_equal_the_batch_ones(spark, sf_dir, tmp_path, kind):
+    """Lines that arrive in three batches: state is carried from one to the next."""
+    from textloom.operators import sequence
+    from textloom.sources.lines import to_lines
+    from textloom.streaming import lines as streams
+
+    rows = to_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("line").alias("text"))
+    top = rows.groupBy("doc_id").agg(F.max("pos").alias("_top"))
+    rows = rows.join(top, "doc_id").select("doc_id", "pos", "text", (F.col("pos") == F.col("_top")).alias("end"))
+    head = F.col("pos") % 7 == 3
+    for k in range(3):
+        part = rows.where((F.col("pos") * 3 / 9).cast("int") == k) if k < 2 else rows.where((F.col("pos") * 3 / 9).cast("int") >= 2)
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
+    out = streams.join_until_terminator(source, head, "end") if kind == "join" else streams.reflow_groups(source, 4, head, "end")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(out.schema).parquet(f"{tmp_path}/out").select(*out.columns).collect()))
+    want = sequence.join_until_terminator(rows, head) if kind == "join" else sequence.reflow_groups(rows, 4, head)
+    assert got == sorted(map(tuple, want.select(*out.columns).collect())) and len(got) > 100

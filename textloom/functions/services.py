@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.html import fragments
+from textloom.functions.html import fragments, rewrite_text_nodes
+from textloom.functions.strings import strip
 
 #: Frequent words by language, for the stand-in language scorer.
 STOP_WORDS = {
@@ -40,6 +41,24 @@ def remove_language(text: Column, lang: str, classify: Callable[[Column], Column
     return F.array_join(F.filter(fragments(text), lambda f: classify(f) != lang), " ")
 
 
+def pages_without_language(pages: DataFrame, lang: str, html: str = "html", classify: Callable[[Column], Column] = stop_word_language) -> DataFrame:
+    """pages with the fragments of one language taken out of every text node; tags, comments and code stay.
+
+    A page without html stays so; all other columns stay.
+    """
+    return pages.withColumn(html, rewrite_text_nodes(F.col(html), lambda t: remove_language(t, lang, classify)))
+
+
+def paragraph_edits(paragraphs: DataFrame, fix: Callable[[Column], Column]) -> DataFrame:
+    """path, pos, texts: the changed paragraphs only, in the form that edit_docx takes.
+
+    paragraphs is what docx_paragraphs gives and fix a column function, such as a grammar
+    service. A changed text goes to its paragraph's first run; blank paragraphs aren't sent.
+    """
+    some = paragraphs.where(strip(F.col("text")) != "").withColumn("_new", fix(F.col("text")))
+    return some.where(F.col("_new").isNotNull() & (F.col("_new") != F.col("text"))).select("path", "pos", F.array("_new").alias("texts"))
+
+
 def external(function: Callable[[str], str], on_error: str = "keep") -> Callable[[Column], Column]:
     """A column function from any str -> str service. Blank text isn't sent; a failing call keeps the text (or gives null)."""
 

@@ -322,32 +322,42 @@ def to_docx(paragraphs: DataFrame, keys: list[str], pos: str = "pos") -> DataFra
 CSS = "body { font-family: serif; } h1 { text-align: center; } a { color: #0000EE; }"
 
 
-def build_epub(title: str, author: str, chapters: list[tuple[str, str]], images: list[tuple[str, str, bytes]] = (), css: str = CSS) -> bytes:
-    """A book of (title, XHTML body) chapters with manifest, spine, NCX and navigation document; of images with one name the first counts."""
+def build_epub(title: str, author: str, chapters: list[tuple[str, str]], images: list[tuple[str, str, bytes]] = (), css: str = CSS, cover: bytes | None = None) -> bytes:
+    """A book of (title, XHTML body) chapters with manifest, spine, NCX and navigation document; of images with one name the first counts.
+
+    cover is a PNG or JPEG image, which gets a page of its own before all others.
+    """
     names = [f"chap_{i}.xhtml" for i in range(len(chapters))]
     pictures = {name: (mime, data) for name, mime, data in reversed(images)}
     page = lambda t, b: f'<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(t)}</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>{b}</body></html>'
     manifest = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
     manifest += "".join(f'<item id="img{i}" href="images/{n}" media-type="{mime}"/>' for i, (n, (mime, _)) in enumerate(sorted(pictures.items())))
     spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(names)))
-    opf = f'<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{hashlib.sha256((title + author).encode()).hexdigest()[:32]}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="style.css" media-type="text/css"/>{manifest}</manifest><spine toc="ncx"><itemref idref="nav"/>{spine}</spine></package>'
+    front, cover_files = "", []
+    if cover is not None:
+        kind = "png" if bytes(cover[:4]) == b"\x89PNG" else "jpeg"
+        manifest += f'<item id="cover-image" href="cover.{kind}" media-type="image/{kind}" properties="cover-image"/><item id="cover" href="cover.xhtml" media-type="application/xhtml+xml"/>'
+        front = '<itemref idref="cover"/>'
+        cover_files = [("EPUB/cover.xhtml", page("Cover", f'<img src="cover.{kind}" alt="Cover"/>').encode(), True), (f"EPUB/cover.{kind}", bytes(cover), False)]
+    opf = f'<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{hashlib.sha256((title + author).encode()).hexdigest()[:32]}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="style.css" media-type="text/css"/>{manifest}</manifest><spine toc="ncx">{front}<itemref idref="nav"/>{spine}</spine></package>'
     points = "".join(f'<navPoint id="n{i}" playOrder="{i + 1}"><navLabel><text>{escape(t)}</text></navLabel><content src="{n}"/></navPoint>' for i, ((t, _), n) in enumerate(zip(chapters, names, strict=True)))
     ncx = f'<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>'
     nav = page(title, '<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>' + "".join(f'<li><a href="{n}">{escape(t)}</a></li>' for (t, _), n in zip(chapters, names, strict=True)) + "</ol></nav>")
     container = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     files = [("mimetype", b"application/epub+zip", False), ("META-INF/container.xml", container.encode(), True), ("EPUB/content.opf", opf.encode(), True), ("EPUB/toc.ncx", ncx.encode(), True), ("EPUB/nav.xhtml", nav.encode(), True), ("EPUB/style.css", css.encode(), True)]
     stored = [(f"EPUB/images/{n}", bytes(data), False) for n, (_, data) in sorted(pictures.items())]
-    return _zip([*files, *((f"EPUB/{n}", page(t, b).encode(), True) for (t, b), n in zip(chapters, names, strict=True)), *stored])
+    return _zip([*files, *cover_files, *((f"EPUB/{n}", page(t, b).encode(), True) for (t, b), n in zip(chapters, names, strict=True)), *stored])
 
 
 def to_epub(chapters: DataFrame, book: str = "book_id", order: str = "chap_id") -> DataFrame:
-    """book, content: one e-book a group of chapters; book_title, author, title, html and, if there, images are its parts."""
+    """book, content: one e-book a group of chapters; book_title, author, title, html and, if there, images and cover (of its first chapter) are its parts."""
     kind = chapters.select(book).dtypes[0][1]
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(order)
         images = [(i["name"], i["mime"], i["content"]) for own in g["images"] for i in own] if "images" in g.columns else []
-        data = build_epub(g["book_title"].iloc[0] or NO_TITLE, g["author"].iloc[0] or NO_AUTHOR, list(zip(g["title"], g["html"], strict=True)), images)
+        cover = g["cover"].iloc[0] if "cover" in g.columns else None
+        data = build_epub(g["book_title"].iloc[0] or NO_TITLE, g["author"].iloc[0] or NO_AUTHOR, list(zip(g["title"], g["html"], strict=True)), images, cover=cover)
         return pd.DataFrame([[g[book].iloc[0], data]], columns=[book, "content"])
 
     return chapters.groupBy(book).applyInPandas(build, f"{book} {kind}, content binary")
