@@ -76,9 +76,14 @@ def link(text: Column, url: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit('<a href="'), F.coalesce(url, F.lit("#")), F.lit('">'), text, F.lit("</a>"))).otherwise(F.lit(""))
 
 
+#: How an image stands in a chapter, before and after its name.
+IMAGE_START = '<img src="images/'
+IMAGE_END = '" alt="image" style="max-width:100%; height:auto;" />'
+
+
 def spans(c: Column) -> Column:
     """HTML of spans {href, runs}: runs formatted, an image in place of its run's text, links around their runs."""
-    run = lambda r: F.when(r["image"].isNotNull(), F.concat(F.lit('<img src="images/'), r["image"], F.lit('" alt="image" style="max-width:100%; height:auto;" />'))).otherwise(format_run(r["text"], r["bold"], r["italic"], r["underline"]))
+    run = lambda r: F.when(r["image"].isNotNull(), F.concat(F.lit(IMAGE_START), r["image"], F.lit(IMAGE_END))).otherwise(format_run(r["text"], r["bold"], r["italic"], r["underline"]))
     inner = F.transform(c, lambda s: F.struct(s["href"].alias("href"), F.array_join(F.transform(s["runs"], run), "").alias("html")))
     return F.array_join(F.transform(inner, lambda s: F.when(s["href"].isNull(), s["html"]).otherwise(link(s["html"], s["href"]))), "")
 

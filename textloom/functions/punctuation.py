@@ -14,6 +14,44 @@ CJK_MARKS = {"，": ",", "。": ".", "：": ":", "；": ";", "！": "!", "？":
 CONTRACTIONS = "s|t|m|re|ll|ve|d"
 CURRENCIES = "$€£¥"
 
+#: The rewrites, pattern and replacement, in the order in which they apply.
+NUMBERS = (
+    (r"(?U)(\d)\s*\.\s*(\d)", "$1.$2"),
+    (r"(?U)(\d)\s*,\s*(\d{3})", "$1,$2"),
+    (r"(?U)(\d)\s+%", "$1%"),
+    (rf"(?U)([{CURRENCIES}])\s+(\d)", "$1$2"),
+)
+FAITHFUL_APOSTROPHE = (r"(?U)([a-zA-Z])\s+'", r"$1\\'")
+FIXED_APOSTROPHE = (r"(?U)([a-zA-Z])\s+'", "$1'")
+WORDS = (
+    (rf"(?iU)'\s+({CONTRACTIONS})(?!\w)", "'$1"),
+    (r"(?U)\bi\b", "I"),
+)
+QUOTES = (
+    (r'(?<=[a-zA-Z])"(?=[A-Z])', ' "'),
+    (r"(?U)\s{2,}", " "),
+    (r'(?U)"\s+(?=\S)', '"'),
+    (r'(?U)(?<=[a-zA-Z0-9.,!?])\s+"', '"'),
+    (r"(?U)\(\s+", "("),
+    (r"(?U)\s+\)", ")"),
+)
+MARKS = (
+    (r"([.!?])(?=[A-Z])", "$1 "),
+    (r"([,;:])(?=[a-zA-Z])", "$1 "),
+)
+FAITHFUL_MARKS = ((r'([.,;:!?])(?=")', "$1 "),)
+REPEATS = (
+    (r"([,:;])\1+", "$1"),
+    (r"([!?])\1+", "$1"),
+    (r"\.{4,}", "..."),
+)
+
+
+def _rewrite(c: Column, rules: tuple) -> Column:
+    for pattern, to in rules:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
 
 def map_marks(c: Column) -> Column:
     """Quotes, CJK marks, … and doubled dashes to their plain forms."""
@@ -22,49 +60,27 @@ def map_marks(c: Column) -> Column:
 
 
 def tighten_numbers(c: Column) -> Column:
-    for pattern, to in (
-        (r"(?U)(\d)\s*\.\s*(\d)", "$1.$2"),
-        (r"(?U)(\d)\s*,\s*(\d{3})", "$1,$2"),
-        (r"(?U)(\d)\s+%", "$1%"),
-        (rf"(?U)([{CURRENCIES}])\s+(\d)", "$1$2"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    return _rewrite(c, NUMBERS)
 
 
 def fix_contractions(c: Column, mode: str = "faithful") -> Column:
     """Faithful mode keeps a stray backslash before a quote that followed a letter and spaces; fixed mode drops it."""
     if mode not in ("faithful", "fixed"):
         raise ValueError(f"unknown mode {mode!r}")
-    c = F.regexp_replace(c, r"(?U)([a-zA-Z])\s+'", r"$1\\'" if mode == "faithful" else "$1'")
-    c = F.regexp_replace(c, rf"(?iU)'\s+({CONTRACTIONS})(?!\w)", "'$1")
-    return F.regexp_replace(c, r"(?U)\bi\b", "I")
+    return _rewrite(c, (FAITHFUL_APOSTROPHE if mode == "faithful" else FIXED_APOSTROPHE, *WORDS))
 
 
 def space_quotes(c: Column) -> Column:
-    for pattern, to in (
-        (r'(?<=[a-zA-Z])"(?=[A-Z])', ' "'),
-        (r"(?U)\s{2,}", " "),
-        (r'(?U)"\s+(?=\S)', '"'),
-        (r'(?U)(?<=[a-zA-Z0-9.,!?])\s+"', '"'),
-        (r"(?U)\(\s+", "("),
-        (r"(?U)\s+\)", ")"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    return _rewrite(c, QUOTES)
 
 
 def space_punctuation(c: Column, mode: str = "faithful") -> Column:
     """A space after marks that stick to the next word; faithful mode also puts one before a quote after a mark."""
-    c = F.regexp_replace(c, r"([.!?])(?=[A-Z])", "$1 ")
-    c = F.regexp_replace(c, r"([,;:])(?=[a-zA-Z])", "$1 ")
-    return F.regexp_replace(c, r'([.,;:!?])(?=")', "$1 ") if mode == "faithful" else c
+    return _rewrite(c, MARKS + (FAITHFUL_MARKS if mode == "faithful" else ()))
 
 
 def single_punctuation(c: Column) -> Column:
-    for pattern, to in ((r"([,:;])\1+", "$1"), (r"([!?])\1+", "$1"), (r"\.{4,}", "...")):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    return _rewrite(c, REPEATS)
 
 
 def capitalise_sentences(c: Column) -> Column:

@@ -1,12 +1,15 @@
 """Operators over ordered rows. Each works by document on an explicit position column.
 
-Pure windows sort a document's rows and keep nothing in memory; the two folds
-(reflow, run operators in runs.py) hold one document's array, because their state resets
-at places that only the scan itself finds.
+Pure windows sort a document's rows and keep nothing in memory. The state of re-flow resets at
+places that only the scan itself finds: it passes over sorted rows once, with three values
+between them. Only the run operators in runs.py hold an array, that of one paragraph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +49,11 @@ def drop_alternate_repeats(lines: DataFrame, doc: str = "doc_id", pos: str = "po
     """
     keyed = lines.withColumn("_key", F.coalesce(line_key(F.col(line)), F.lit("")))
     keyed = keyed.withColumn("_new", F.when(F.lag("_key").over(_order(doc, pos)).eqNullSafe(F.col("_key")), 0).otherwise(1))
-    keyed = keyed.withColumn("_run", F.sum("_new").over(_order(doc, pos)))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(doc, "_run").orderBy(pos)))
+    # a line's place in its run is its rank less that of the run's first line: one sort for all windows
+    keyed = keyed.withColumn("_rank", F.row_number().over(_order(doc, pos)))
+    keyed = keyed.withColumn("_nth", F.col("_rank") - F.max(F.when(F.col("_new") == 1, F.col("_rank"))).over(_order(doc, pos)) + 1)
     kept = keyed.where("_nth % 2 = 1" if mode == "faithful" else "_nth = 1")
-    return kept.drop("_key", "_new", "_run", "_nth")
+    return kept.drop("_key", "_new", "_rank", "_nth")
 
 
 def sections(rows: DataFrame, is_heading: Column, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
@@ -111,24 +115,33 @@ def reflow_groups(rows: DataFrame, sentences: int = 4, is_heading: Column | None
 
     A paragraph ends once it holds that many sentence ends, or with a closing quote. Headings
     and bracketed lines stand alone and end what precedes. The count restarts at every end, so
-    a fold over one document's lines finds the groups; documents run in parallel.
+    a document's lines are passed over once in order: documents are dealt to partitions and
+    sorted by the engine, and the pass keeps three values between lines, whatever the length.
     """
     head = F.coalesce(is_heading, F.lit(False)) if is_heading is not None else F.lit(False)
     trimmed = strip(F.col(text))
-    rows = rows.where((trimmed != "") | head)
-    item = F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"), (head | is_bracketed(F.col(text))).alias("alone"), F.when(head, 0).otherwise(sentence_ends(F.col(text))).alias("n"), ends_with_any(trimmed, CLOSING_QUOTES).alias("quote"))
-    docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-
-    def step(acc: Column, x: Column) -> Column:
-        # open: whether rows are waiting; a row that stands alone closes them first
-        group = acc["group"] + F.when(acc["closed"] | x["alone"], 1).otherwise(0)
-        count = F.when(acc["closed"] | x["alone"], F.lit(0)).otherwise(acc["count"]) + x["n"]
-        closed = x["alone"] | (count >= sentences) | x["quote"]
-        return F.struct(group.alias("group"), count.alias("count"), closed.alias("closed"), F.concat(acc["out"], F.array(group)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("count"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("out"))
-    folded = docs.withColumn("_groups", F.aggregate("_items", start, step, lambda a: a["out"]))
-    return folded.select(doc, F.explode(F.arrays_zip("_items", "_groups")).alias("_z")).select(doc, F.col("_z._items.pos").alias(pos), F.col("_z._items.text").alias("text"), F.col("_z._groups").alias("group"))
+    alone = F.coalesce(head | is_bracketed(F.col(text)), F.lit(False))
+    ends = F.when(head, 0).otherwise(F.coalesce(sentence_ends(F.col(text)), F.lit(0))).cast("int")
+    quote = F.coalesce(ends_with_any(trimmed, CLOSING_QUOTES), F.lit(False))
+    marked = rows.where((trimmed != "") | head).select(doc, pos, F.col(text).alias("text"), alone.alias("_alone"), ends.alias("_n"), quote.alias("_quote"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group, count, closed = object(), 0, 0, True
+        for batch in batches:
+            own, bare, n, quoted = (batch.column(k).to_pylist() for k in (0, 3, 4, 5))
+            groups = []
+            for d, a, k, q in zip(own, bare, n, quoted, strict=True):
+                if d != here:
+                    here, group, count, closed = d, 0, 0, True
+                if closed or a:  # what stands alone closes what is open
+                    group, count = group + 1, 0
+                count += k
+                closed = a or q or count >= sentences
+                groups.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(groups, pa.int32())], [doc, pos, "text", "group"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in marked.select(doc, pos, "text").dtypes) + ", group int"
+    return marked.repartition(doc).sortWithinPartitions(doc, pos).mapInArrow(run, schema)
 
 
 def reflow(rows: DataFrame, sentences: int = 4, is_heading: Column | None = None, text: str = "text", doc: str = "doc_id", pos: str = "pos") -> DataFrame:
