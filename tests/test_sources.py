@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.services import external, pages_without_language, paragraph_edits, remove_language, stop_word_language
+from textloom.functions.services import external, pages_without_language, paragraph_edits, remove_language, stop_word_language, with_error
 from textloom.functions import html
 from textloom.operators import chapters, report
 from textloom.plans import crawl
@@ -103,6 +103,9 @@ def test_services(spark):
         raise RuntimeError(t)
 
     assert df.select(external(broken)(F.col("t"))).first()[0].startswith("The cat")
+    found = [r.x for r in spark.createDataFrame([("a",), (" ",), (None,)], "t string").select(with_error(broken)(F.col("t")).alias("x")).collect()]
+    assert [(x.value, x.error) for x in found] == [("a", "RuntimeError: a"), (" ", None), (None, None)]
+    assert df.limit(1).select(with_error(str.upper)(F.lit("a"))).first()[0].value == "A"
 
 
 def test_document_to_book(spark, tmp_path):

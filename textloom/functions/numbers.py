@@ -118,6 +118,14 @@ def clean_chapter_title(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s*[\(\[（]\s*\d+\s*/\s*\d+\s*[\)\]）]\s*$", ""))
 
 
+def row_sum(*columns: Column) -> Column:
+    """The sum of a row's values; null if one is."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
+
+
 def hp_base(stat: Column, iv: Column, ev: Column, level: Column) -> Column:
     """Rounded half to even."""
     return F.bround(((stat - 10) * (F.lit(100.0) / level) - 100 - iv - ev / 4) / 2)

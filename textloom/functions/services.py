@@ -75,3 +75,21 @@ def external(function: Callable[[str], str], on_error: str = "keep") -> Callable
         return texts.map(one)
 
     return call
+
+
+def with_error(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A column function from any str -> str service to struct(value, error): a failing call gives the text as it was and what went wrong."""
+
+    @F.pandas_udf("value string, error string")
+    def call(texts: pd.Series) -> pd.DataFrame:
+        def one(t: str | None) -> tuple[str | None, str | None]:
+            if t is None or not t.strip():
+                return t, None
+            try:
+                return function(t), None
+            except Exception as e:
+                return t, f"{type(e).__name__}: {e}"
+
+        return pd.DataFrame([one(t) for t in texts], columns=["value", "error"], dtype=object)
+
+    return call

@@ -112,6 +112,26 @@ def output_name(path: Column, rule: str) -> Column:
     raise ValueError(f"unknown naming rule {rule!r}")
 
 
+def part_name(part: Column) -> Column:
+    """part_1.docx, part_2.docx, ...: the files of a document split into parts."""
+    return F.concat(F.lit("part_"), part.cast("string"), F.lit(".docx"))
+
+
+def chapter_name(number: Column) -> Column:
+    """chap_0.xhtml, chap_1.xhtml, ...: the pages of a built book."""
+    return F.concat(F.lit("chap_"), number.cast("string"), F.lit(".xhtml"))
+
+
+def book_name(title: Column) -> Column:
+    """The title with .epub; a slash, which would name a folder, becomes a blank."""
+    return F.concat(F.replace(title, F.lit("/"), F.lit(" ")), F.lit(".epub"))
+
+
+def changed(old: Column, new: Column) -> Column:
+    """Whether a row is to be written again: a null is equal to a null."""
+    return ~old.eqNullSafe(new)
+
+
 def last_number(name: Column) -> Column:
     """The last run of digits as a number, null without one."""
     return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(name, F.lit(r"(\d+)"), 1)), -1).cast("decimal(38,0)").cast("bigint")

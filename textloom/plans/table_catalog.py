@@ -365,6 +365,24 @@ def glossary_conflict_report(spark, sf_dir):
     return glossary.conflict_report(_event_glossary(spark, sf_dir))
 
 
+@query("SELECT o_orderkey, 'part_' || part || '.docx' AS file FROM (SELECT o_orderkey, (floor((rn - 1) / ceil(n / 3.0)) + 1)::BIGINT AS part FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders))")
+def part_files(spark, sf_dir):
+    rows = sequence.deal_sections(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), 3, "o_custkey", "o_orderkey")
+    return rows.select("o_orderkey", strings.part_name(F.col("part")).alias("file"))
+
+
+@query("SELECT p_partkey, replace(p_name, 'red', 'Red') AS text FROM part WHERE replace(p_name, 'red', 'Red') <> p_name")
+def changed_rows(spark, sf_dir):
+    new = F.replace("p_name", F.lit("red"), F.lit("Red"))
+    return table(spark, sf_dir, "part").where(strings.changed(F.col("p_name"), new)).select("p_partkey", new.alias("text"))
+
+
+@query("SELECT p_partkey, p_size + p_partkey + length(p_name) + length(p_brand) + length(p_type) + p_size // 2 AS total FROM part")
+def row_sum(spark, sf_dir):
+    six = [F.col("p_size"), _key(), F.length("p_name"), F.length("p_brand"), F.length("p_type"), F.floor(F.col("p_size") / 2)]
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.row_sum(*six).cast("long").alias("total"))
+
+
 # ---- scans over pages, images and pairs of runs
 
 
