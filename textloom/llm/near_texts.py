@@ -99,17 +99,28 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def propose_group(nodes: list[int], checks: np.ndarray, radius: int, forest: _Forest) -> None:
-    """Link what chains of pairs within the radius join in one bucket: exact, comparing only what isn't linked yet."""
-    for pivot in range(min(16, len(nodes))):
-        for j in np.flatnonzero(_apart(checks, checks[pivot]) <= radius).tolist():
-            forest.link(nodes[pivot], nodes[j])
+def propose_group(nodes: list[int], checks: np.ndarray, radius: int, forest: _Forest, pivots: int = 16) -> None:
+    """Link what chains of pairs within the radius join in one bucket: exact, comparing only what isn't linked yet.
+
+    A few pivots link most of a cluster, each node once; then each node outside the largest
+    component is compared with all others.
+    """
     roots = np.array([forest.root(x) for x in nodes], np.int64)
+    for _ in range(pivots):
+        values, sizes = np.unique(roots, return_counts=True)
+        if len(values) == 1:
+            return
+        alone = np.flatnonzero(roots != values[sizes.argmax()]) if sizes.max() > 1 else np.arange(len(nodes))
+        near = _apart(checks, checks[alone[0]]) <= radius
+        joined = np.unique(roots[near])
+        for x in joined.tolist():
+            forest.link(nodes[alone[0]], x)
+        roots[np.isin(roots, joined)] = forest.root(nodes[alone[0]])
     values, inverse, sizes = np.unique(roots, return_inverse=True, return_counts=True)
     if len(values) > 1:
         for i in np.flatnonzero(inverse != sizes.argmax()).tolist():
-            for j in np.flatnonzero((_apart(checks, checks[i]) <= radius) & (inverse != inverse[i])).tolist():
-                forest.link(nodes[i], nodes[j])
+            for x in np.unique(roots[(_apart(checks, checks[i]) <= radius) & (inverse != inverse[i])]).tolist():
+                forest.link(nodes[i], x)
 
 
 def _proposer(radius: int, small: int = 48):
@@ -242,7 +253,8 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     large = members.groupBy("family").agg(F.ceil(F.sum(F.col("n").cast("long")) * 8 / F.lit(unit_bytes)).cast("int").alias("blocks"))
     wanted = members.join(large, "family").select("node", "family", "blocks", "rep_id", "rep_hash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
-    picked = texts.join(wanted, (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("family", "blocks", "node", "text")
+    # a plain merge join at every size: the plan doesn't change as the families outgrow a broadcast
+    picked = texts.join(wanted.hint("merge"), (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("family", "blocks", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
