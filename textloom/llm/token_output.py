@@ -1,5 +1,7 @@
 """Token-id output: Parquet files of list columns in id order, and readers that open only what they need."""
 
+from __future__ import annotations
+
 import sys
 import zlib
 from array import array
@@ -7,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import by_bytes, tidy
@@ -111,30 +113,33 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{path}/tokens").select("*", number.alias("_file"))
 
 
-def read_token_ids(spark: SparkSession, path: str, content: str = "ids") -> DataFrame:
+def read_token_ids(spark: SparkSession, path: str, content: str = "ids", where: Column | None = None) -> DataFrame:
     """doc_id, start, n_tokens as written, and the ids (content="ids"), ids_crc32 ("crc") or neither ("none").
 
     start is the number of ids of all documents before the row: the row's place in its file,
     which is stored with it, and the file's, from the small table of files. Nothing else is
-    shuffled, numbered or sorted, so a filter on doc_id reaches the files: only the row groups
-    and pages that can hold the id are opened. "none" opens the metadata columns alone. For
-    "crc", n_tokens and ids_crc32 are counted from the ids themselves; ids_crc32 is the
-    unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
+    shuffled, numbered or sorted, so a condition on doc_id (where, or a filter on the result
+    unless content is "crc") reaches the files: only the row groups and pages that can hold
+    the id are opened. "none" opens the metadata columns alone. For "crc", n_tokens and
+    ids_crc32 are counted from the ids themselves; ids_crc32 is the unsigned crc32 of the ids
+    as little-endian unsigned 32-bit integers.
     """
     if content not in ("ids", "crc", "none"):
         raise ValueError(f"unknown content {content!r}")
     starts = spark.read.schema("_file long, _base long").parquet(f"{path}/starts")
-    rows = _stored(spark, path).join(starts, "_file").withColumn("start", F.col("_base") + F.col("before"))
+    stored = _stored(spark, path)
+    stored = stored if where is None else stored.where(where)
     if content == "crc":
-        rows = rows.select("doc_id", "start", F.arrow_udf(_counted, "struct<n_tokens: long, ids_crc32: long>")("ids").alias("_own"))
-        return rows.select("doc_id", "start", "_own.n_tokens", "_own.ids_crc32")
-    return rows.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), *(["ids"] if content == "ids" else []))
+        stored = stored.select("doc_id", "before", "_file", "ids").mapInArrow(tidy(_counted), "doc_id long, before long, _file long, n_tokens long, ids_crc32 long")
+    rows = stored.join(starts, "_file").withColumn("start", F.col("_base") + F.col("before"))
+    return rows.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), *{"ids": ["ids"], "crc": ["ids_crc32"], "none": []}[content])
 
 
-def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """(number, crc32) of each list of ids."""
-    for lists in batches:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids replaced by their number and crc32."""
+    for batch in batches:
+        lists = batch.column(3)
         ends = lists.offsets.to_numpy()
         data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
         crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        yield pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "before", "_file", "n_tokens", "ids_crc32"])
