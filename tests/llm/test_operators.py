@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -181,6 +182,60 @@ def test_language(spark, sf_dir, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_equals_a_plain_version(docs, texts):
+    """Every document's language and score by plain loops over grams and classifiers, from the same fit."""
+    import math
+
+    model = langid.train(docs)
+
+    def plain(text):
+        if not any(unicodedata.category(c).startswith("L") for c in text):
+            return "und", 0.0
+        low = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())) + b" "
+        total, n = [0.0] * len(model.bias), 0
+        for i in range(len(low)):
+            places = [low[i]]
+            if i + 1 < len(low):
+                two = low[i] * 40503 + low[i + 1] * 34283 + 17
+                places.append(two % 65536)
+            if i + 2 < len(low):
+                three = two * 31 + low[i + 2] * 49843 + 91
+                three = (three + 2**31) % 2**32 - 2**31
+                places.append((three ^ three >> 13) & 65535)
+            for p in places:
+                n += 1
+                total = [t + float(w) for t, w in zip(total, model.weights[p], strict=True)]
+        chance = [1 / (1 + math.exp(-(t / n + b) * s)) for t, b, s in zip(total, model.bias, model.steep, strict=True)]
+        of = chance[: len(model.families)]
+        family = model.families[of.index(max(of))]
+        langs = model.languages[family]
+        votes = dict.fromkeys(langs, 0.0)
+        for (f, x, y), q in zip(model.pairs, chance[len(of) :], strict=True):
+            if f == family:
+                votes[x] += q
+                votes[y] += 1 - q
+        best = max(langs, key=votes.get)
+        return best, max(of) / sum(of) * (votes[best] / (len(langs) - 1) if len(langs) > 1 else 1)
+
+    short = {i: t for i, t in texts.items() if len(t) < 3000}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert len(short) > 100
+    for i, t in short.items():
+        lang, score = plain(t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-6)
+
+
+def test_support_vectors_reach_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 12)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=200) > 0, 1.0, -1.0)
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    loss = lambda v: 0.5 * v @ v + 10 * (share * np.maximum(0, 1 - y * (np.c_[x, np.ones(200)] @ v)) ** 2).sum()
+    w, bias, _ = langid._linear(x, y, rounds=1000)
+    found = np.r_[w, bias].astype(float)
+    assert all(loss(found) <= loss(found + rng.normal(size=13) * size) + 1e-6 for size in (0.3, 0.03, 0.003) for _ in range(200))
+
+
 def test_language_odd(odd, empty):
     rows = langid.identify(odd).collect()
     assert langid.identify(empty).count() == 0
@@ -339,7 +394,7 @@ def test_one_document_opens_one_row_group(spark, tmp_path):
     assert [(r.start, r.ids) for r in one.collect()] == [every[4321]]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,4321)" in plan and "Window" not in plan
-    assert "EqualTo(doc_id,4321)" in token_output.read_token_ids(spark, path, "crc").where("doc_id = 4321")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,4321)" in token_output.read_token_ids(spark, path, "crc", F.col("doc_id") == 4321)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_vocabularies_that_do_not_fit_are_left_to_the_library(docs, odd):
