@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, golay, langid, license_scan, line_dedup, mixing, quality_rules, queries, simhash, token_count, token_output, url_filter
+from textloom.llm.common import materialize
 from textloom.llm.components import connected_components
 from textloom.llm.word_encoder import WordEncoder, pieces
 
@@ -617,7 +618,7 @@ def test_cutoffs_are_safe(spark):
 def test_cutoffs_equal_their_sql(spark):
     """Limits so loose that cutoffs are chosen on the table: measures, choice and verdicts by SQL."""
     sf_dir = "/root/testdata/sf0.01"
-    measured = quality_rules.measures(spark.read.parquet(f"{sf_dir}/documents.parquet"), stratum_col="lang")
+    measured = materialize(quality_rules.measures(spark.read.parquet(f"{sf_dir}/documents.parquet"), stratum_col="lang"), "measures")
     cutoffs = quality_rules.choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), false_rejection=0.9, error=0.9)
     assert len([c for c in cutoffs if c.cutoff is not None]) > 3
     rows = quality_rules.apply_cutoffs(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
@@ -627,7 +628,7 @@ def test_cutoffs_equal_their_sql(spark):
 
 def test_quality_odd(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (5, 1), (5, 1), (None, 0)], "doc_id long, quality int")
-    measured = quality_rules.measures(odd, stratum_col="lang")
+    measured = materialize(quality_rules.measures(odd, stratum_col="lang"), "measures")
     rows = quality_rules.apply_cutoffs(measured, quality_rules.choose_cutoffs(measured, labels)).collect()
     assert len(rows) == 12 and {r.doc_id for r in rows if r.kept} == set()
-    assert quality_rules.choose_cutoffs(quality_rules.measures(empty), labels) == []
+    assert quality_rules.choose_cutoffs(measured.where("false"), labels) == [] and quality_rules.measures(empty).count() == 0

@@ -139,6 +139,8 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, label_id: str = "doc_
     Good and bad labels are counted by stratum, rule and grid step over all labels; a count
     table of strata x 6 x 11 rows comes to the driver. A label row counts as often as it
     occurs; rows without a label value or id, and ids without a document, count for nothing.
+    measured is to be a written table (materialize): each value is used in many steps, and an
+    unwritten one would be computed again for each.
     """
     held = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("_label IS NOT NULL")
     rows = measured.where(~base_failed()).join(held, "doc_id")
