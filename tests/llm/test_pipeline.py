@@ -5,6 +5,9 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
+from textloom.llm import token_output
 from tokenizers import Tokenizer
 
 import pytest
@@ -64,3 +67,36 @@ def test_stages_stand_odd_rows(spark, sf_dir, odd, k):  # noqa: F811
         assert len(rows) == 12
     if k == 3:
         assert {r.doc_id for r in rows} == {r.doc_id for r in own.collect()} and len(rows) >= 12
+
+
+@pytest.mark.parametrize("own", [None, 3 << 20])
+def test_token_files_go_to_python_in_small_batches(spark, sf_dir, monkeypatch, own):
+    """Texts to encode and ids read back, some 5 MB a task each, in batches of about 1 MB or the session's own bound."""
+
+    def write(docs, *_):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                ids = pa.ListArray.from_arrays(pa.array(range(0, 256 * n + 1, 256), pa.int32()), pa.array(np.full(256 * n, b.nbytes, np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([256] * n, pa.int32()), pa.array([0] * n, pa.int64()), ids], ["doc_id", "n_tokens", "before", "ids"])
+
+        return docs.mapInArrow(run, token_output.SCHEMA)
+
+    def read(batches):
+        for b in batches:
+            written = [x[0] for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([b.nbytes] * b.num_rows, pa.int64()), pa.array(written, pa.int64())], ["doc_id", "before", "_file", "n_tokens", "ids_crc32"])
+
+    monkeypatch.setattr(token_output, "encode_ids", write)
+    monkeypatch.setattr(token_output, "_counted", read)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        if own:
+            spark.conf.set(key, own)
+        docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"))
+        rows = corpus_pipeline.token_files(spark, docs, sf_dir).collect()
+    finally:
+        spark.conf.unset(key)
+    most, bound = max(max(r.n_tokens, r.ids_crc32) for r in rows), own or 1 << 20
+    assert len(rows) == 20_000 and bound / 2 < most < 1.25 * bound
