@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -356,6 +357,50 @@ def test_word_encoder_equals_the_library():
     assert b"".join(pieces(b"ab cd  efg h", 3)) == b"ab cd  efg h" and len(pieces(b"abcdef", 2)) == 1
 
 
+def encoded(texts, end_id=2, **sizes):
+    """What the operator makes of (doc_id, text) rows, without Spark: n_tokens, before, ids."""
+
+    class Docs:
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    out = [r for b in token_output.encode_ids(Docs, VOCABULARY, end_id, **sizes)(iter([rows])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in out] == list(range(len(texts)))
+    return [(r["n_tokens"], r["before"], r["ids"]) for r in out]
+
+
+def in_library(texts, end_id=2):
+    from tokenizers import Tokenizer
+
+    t, out, before = Tokenizer.from_file(VOCABULARY), [], 0
+    for x in texts:
+        ids = t.encode(x or "", add_special_tokens=False).ids + ([] if end_id is None else [end_id])
+        out.append((len(ids), before, ids))
+        before += len(ids)
+    return out
+
+
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    """Capitals and marks make no new words for the library: the cache has the words and the runs of marks."""
+    monkeypatch.setattr(token_output, "_ENCODERS", {})
+    marks = ["", ",", ".", "!?", "###", "...", "(", ")"]
+    forms = [a + w + b for a in marks for w in ("some", "Some", "SOME", "\u00e9t\u00e9", "other", "oTHER") for b in marks]
+    texts = [" ".join(forms[i::7]) for i in range(7)]
+    assert encoded(texts) == in_library(texts)
+    assert set(token_output._ENCODERS[VOCABULARY].words) == {w.encode() for w in ["some", "other", "\u00e9t\u00e9", *marks[1:]]}
+
+
+def test_token_ids_equal_the_library(monkeypatch):
+    """Letters that compose only in lower case, special tokens, contractions, other white space; texts cut into pieces, a cache that overflows."""
+    monkeypatch.setattr(token_output, "_ENCODERS", {})
+    token_output._encoder(VOCABULARY).max_words = 40
+    rng = random.Random(10)
+    alphabet = ["a", "B", "H\u0331", "\u0331", "E\u0301", "\u00c9", "\u00df", "\u1e9e", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", ".", ",", "###", " ", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "3", "\u00b2", "\u0130", "\u03a3", "\u6f22", "\ufb01", "_", "|", "<", "\u00aa", "\u00b5", "\u01c5", "\u0149", "\u024f", "\u0250", "the", "The", "\x00", "\U0001f600", "\u00ad"]
+    texts = [None, "", " ", *("".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(2000))]
+    assert encoded(texts, batch_bytes=5000, piece_bytes=50) == in_library(texts)
+    assert encoded(texts[:50], None, batch_bytes=64, piece_bytes=20) == in_library(texts[:50], None)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, texts, tmp_path, encoding):
     from tokenizers import Tokenizer

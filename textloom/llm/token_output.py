@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 import zlib
 from array import array
@@ -25,12 +26,33 @@ def _kept(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+def _kept_of(ids: list[int], ends: list[int]) -> list[bytes]:
+    packed = _kept(ids)
+    return [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path, _kept)
+        _ENCODERS[path] = WordEncoder(path, _kept, values=_kept_of)
     return _ENCODERS[path]
 
 
+def _encoded(encoder: WordEncoder, cut: list[list[bytes]], end_id: int | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each text has, with the end id, and all ids in order; about most bytes of the texts' pieces at a time."""
+    pieces = list(itertools.chain.from_iterable(cut))
+    parts = [encoder.packed(pieces[i:j]) for i, j in by_bytes(pa.array(pieces, pa.binary()), most)]
+    before = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate([n for n, _ in parts]))))
+    sizes = np.diff(before[np.cumsum([0, *map(len, cut)])])
+    ids = np.concatenate([x for _, x in parts]) if len(parts) > 1 else parts[0][1]
+    if end_id is None:
+        return sizes, ids
+    ends = np.zeros(len(ids) + len(cut), bool)
+    ends[np.cumsum(sizes + 1) - 1] = True
+    out = np.empty(len(ends), np.int32)
+    out[ends], out[~ends] = end_id, ids
+    return sizes + 1, out
+
+
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, batch_bytes: int = 1 << 20, piece_bytes: int = 1 << 16) -> DataFrame:
     """(doc_id, text binary) to (doc_id, n_tokens, before, ids); row order within a partition stays.
 
@@ -39,19 +61,14 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, batch_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(tokenizer_path), 0
-        end = b"" if end_id is None else _kept([end_id])
         for batch in batches:
             ids = batch.column(0)
             for i, j in by_bytes(batch.column(1), batch_bytes):
                 cut = [encoder.pieces(t or b"", piece_bytes) for t in batch.column(1).slice(i, j - i).to_pylist()]
-                if any(len(p) > 1 for p in cut):
-                    out = [b"".join([*(encoder.texts([p], b"".join)[0] for p in ps), end]) for ps in cut]
-                else:
-                    out = [x + end for x in encoder.texts([p[0] for p in cut], b"".join)]
-                sizes = np.fromiter((len(x) // 4 for x in out), np.int32, len(out))
+                sizes, out = _encoded(encoder, cut, end_id, batch_bytes)
                 offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(out))]))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes), pa.array(before + offsets[:-1]), lists], ["doc_id", "n_tokens", "before", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(out)]))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int32()), pa.array(before + offsets[:-1]), lists], ["doc_id", "n_tokens", "before", "ids"])
                 before += int(offsets[-1])
 
     return docs.mapInArrow(tidy(run), SCHEMA)
