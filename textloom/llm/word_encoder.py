@@ -149,22 +149,25 @@ class WordEncoder:
             whole = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [join([self.value(e.ids)]) for e in whole]
         cut = [t.split() for t in texts]
-        self._hold(set().union(*cut))
+        held = set().union(*cut)
+        self._load(held, held.difference(self.words))
         get = self.words.__getitem__
         return [join(map(get, ws)) for ws in cut]
 
+    def _load(self, held: Collection[bytes], missing: set[bytes]) -> None:
+        """Put those of the distinct words held that are missing into the cache, and all where it starts anew."""
+        if len(self.words) + len(missing) > self.max_words:
+            self.words, self.older = {}, self.words
+            missing = set(held)
+        if missing:
+            known = self.older.keys() & missing
+            self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            self._learn(missing - known)
+
     def _hold(self, held: Collection[bytes]) -> list:
         """The values of these distinct words, all of which are in the cache afterwards."""
         values = list(map(self.words.get, held))
-        missing = [w for w, v in zip(held, values, strict=True) if v is None]
-        if not missing:
-            return values
-        if len(self.words) + len(missing) > self.max_words:
-            self.words, self.older = {}, self.words
-            missing = list(held)
-        known = {w: v for w, v in zip(missing, map(self.older.get, missing), strict=True) if v is not None}
-        self.words.update(known)
-        self._learn(set(missing).difference(known))
+        self._load(held, {w for w, v in zip(held, values, strict=True) if v is None})
         return [self.words[w] if v is None else v for w, v in zip(held, values, strict=True)]
 
     def packed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
