@@ -13,6 +13,8 @@ SINGLE_QUOTES = "‘’‛"
 CJK_MARKS = {"，": ",", "。": ".", "：": ":", "；": ";", "！": "!", "？": "?", "（": "(", "）": ")", "【": "[", "】": "]", "、": ","}
 CONTRACTIONS = "s|t|m|re|ll|ve|d"
 CURRENCIES = "$€£¥"
+#: Small letters with a one-letter capital beside their full one of several letters (ß: ẞ beside SS).
+SIMPLE_CAPITALS = ("ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ")
 
 #: The rewrites, pattern and replacement, in the order in which they apply.
 NUMBERS = (
@@ -83,17 +85,26 @@ def single_punctuation(c: Column) -> Column:
     return _rewrite(c, REPEATS)
 
 
-def capitalise_sentences(c: Column) -> Column:
+def capitalise_sentences(c: Column, capitals: str = "full") -> Column:
+    """Capitals at the start of the text and of its sentences.
+
+    Full capitals may have several letters (ß becomes SS); simple ones have one (ẞ), and a letter without such a one stays.
+    """
+    if capitals not in ("full", "simple"):
+        raise ValueError(f"unknown capitals {capitals!r}")
     first = F.substring(c, 1, 1)
-    c = F.when((F.lower(first) == first) & (F.upper(first) != first), F.concat(F.upper(first), F.substring(c, 2, 1 << 30))).otherwise(c)
+    raised = F.upper(first)
+    if capitals == "simple":
+        raised = F.when(F.length(raised) > 1, F.translate(first, *SIMPLE_CAPITALS)).otherwise(raised)
+    c = F.when((F.lower(first) == first) & (F.upper(first) != first), F.concat(raised, F.substring(c, 2, 1 << 30))).otherwise(c)
     tokens = F.regexp_extract_all(c, F.lit(r"(?sU)[.!?]\s+[a-z]|[^.!?]+|."), 0)
     raised = F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit(r"(?sU)^[.!?]\s+[a-z]$")), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.upper(F.substring(t, -1, 1)))).otherwise(t))
     return F.array_join(raised, "")
 
 
-def normalise(c: Column, mode: str = "faithful", with_nfkc: bool = True) -> Column:
+def normalise(c: Column, mode: str = "faithful", with_nfkc: bool = True, capitals: str = "full") -> Column:
     """The whole chain; null becomes the empty text. with_nfkc=False leaves out the one Arrow step, for text known to be normalised."""
     text = F.coalesce(c, F.lit(""))
     text = nfkc(text) if with_nfkc else text
     text = F.regexp_replace(text, "[  -​　]", " ")
-    return capitalise_sentences(single_punctuation(space_punctuation(space_quotes(fix_contractions(tighten_numbers(map_marks(text)), mode)), mode)))
+    return capitalise_sentences(single_punctuation(space_punctuation(space_quotes(fix_contractions(tighten_numbers(map_marks(text)), mode)), mode)), capitals)

@@ -170,7 +170,7 @@ def punct_normalise_full(spark, sf_dir):
     t = F.col("text")
     for a, b in _MESSY:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(punctuation.normalise(t).cast("binary")).alias("out_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(punctuation.normalise(t, capitals="simple").cast("binary")).alias("out_md5"))
 
 
 @query("""SELECT p_partkey, a || CASE WHEN a <> '' AND right(a, 1) NOT IN (' ', '-', '—') AND ltrim(b) <> '' AND left(ltrim(b), 1) NOT IN (',', '.', '!', '?', ':', ';') THEN ' ' ELSE '' END || b AS text
