@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.strings import strip
+from textloom.functions.strings import let, strip
 
 #: Number words and numerals.
 UNITS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -16,8 +16,8 @@ CJK_UNITS = {"十": 10, "百": 100, "千": 1000}
 CJK_SCALES = {"万": 10**4, "亿": 10**8}
 
 
-def _map(values: dict[str, int]) -> Column:
-    return F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v)))
+def _map(values: dict[str, int], value_type: str = "int") -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(value_type))))
 
 
 def words_to_number(c: Column) -> Column:
@@ -58,23 +58,39 @@ def rewrite_chapter_words(line: Column) -> Column:
 
 
 def _cjk_integer(part: Column) -> Column:
-    digits, units, scales = _map(CJK_DIGITS), _map(CJK_UNITS), _map(CJK_SCALES)
-
-    def step(acc: Column, ch: Column) -> Column:
-        arabic, digit, unit, scale = F.rlike(ch, F.lit(r"^\d$")), F.try_element_at(digits, ch), F.try_element_at(units, ch), F.try_element_at(scales, ch)
-        number, section = acc["number"], acc["section"]
-        value = F.try_to_number(F.when(arabic, ch).otherwise(F.lit("0")), F.lit("9")).cast("long")
-        whole = section + number
-        return F.struct(
-            F.when(scale.isNotNull(), acc["total"] + F.when(whole == 0, F.lit(1).cast("long")).otherwise(whole) * scale).otherwise(acc["total"]).cast("long").alias("total"),
-            F.when(scale.isNotNull(), F.lit(0)).when(unit.isNotNull(), section + F.when(number == 0, F.lit(1).cast("long")).otherwise(number) * unit).otherwise(section).cast("long").alias("section"),
-            F.when(arabic, F.when(acc["run"], number * 10).otherwise(F.lit(0).cast("long")) + value).when(digit.isNotNull(), digit).when(unit.isNotNull() | scale.isNotNull(), F.lit(0)).otherwise(number).cast("long").alias("number"),
-            arabic.alias("run"),
+    """A fold over Arabic runs and single characters, each looked up once: digits and runs are 0 or more, units and scales below 0."""
+    codes = _map(CJK_DIGITS | {u: -v for u, v in (CJK_UNITS | CJK_SCALES).items()}, "long")
+    tokens = F.transform(F.regexp_extract_all(part, F.lit("[0-9]+|[^0-9]"), 0), lambda x: F.when((x >= "0") & (x < ":"), x.cast("long")).otherwise(F.try_element_at(codes, x)))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def step(acc: Column, k: Column) -> Column:
+        total, section, number = acc["total"], acc["section"], acc["number"]
+        return (
+            F.when(k <= -10_000, F.struct((total - F.greatest(section + number, one) * k).alias("total"), zero.alias("section"), zero.alias("number")))
+            .when(k < 0, F.struct(total.alias("total"), (section - F.greatest(number, one) * k).alias("section"), zero.alias("number")))
+            .when(k >= 0, F.struct(total.alias("total"), section.alias("section"), k.alias("number")))
+            .otherwise(acc)
         )
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("number"), F.lit(False).alias("run"))
-    return F.aggregate(F.filter(F.split(part, ""), lambda x: x != ""), start, step, lambda a: a["total"] + a["section"] + a["number"])
+    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("number"))
+    return F.aggregate(tokens, start, step, lambda a: a["total"] + a["section"] + a["number"])
+
+
+def _cjk_parts(text: Column, of) -> Column:
+    """of(negative, whole part, digits after the point or the empty text)."""
+    negative = F.startswith(text, F.lit("负")) | F.startswith(text, F.lit("-"))
+
+    def unsigned(body: Column) -> Column:
+        digits = F.regexp_extract(body, f"^[^点]*点([0-9{''.join(CJK_DIGITS)}]+)", 1)
+        plain = F.translate(digits, "".join(CJK_DIGITS), "".join(map(str, CJK_DIGITS.values())))
+        fraction = F.when(F.contains(body, F.lit("点")), plain).otherwise(F.lit(""))
+        return let(_cjk_integer(F.substring_index(body, "点", 1)), lambda whole: let(fraction, lambda d: of(negative, whole, d)))
+
+    return let(F.when(negative, F.substring(text, 2, 1 << 30)).otherwise(text), unsigned)
+
+
+def _signed(negative: Column, value: Column) -> Column:
+    return F.when(negative, -value).otherwise(value)
 
 
 def cjk_to_number(c: Column) -> Column:
@@ -83,27 +99,30 @@ def cjk_to_number(c: Column) -> Column:
     A digit replaces the one before it, so 一二三 is 3; 万 and 亿 multiply only what follows the
     last of them, so 一万亿 is 100010000.
     """
-    t = strip(c)
-    negative = F.startswith(t, F.lit("负")) | F.startswith(t, F.lit("-"))
-    body = F.when(negative, F.substring(t, 2, 1 << 30)).otherwise(t)
-    whole = _cjk_integer(F.split_part(body, F.lit("点"), F.lit(1)))
-    fraction = F.regexp_extract(F.regexp_extract(body, "(?s)点(.*)$", 1), f"^[0-9{''.join(CJK_DIGITS)}]+", 0)
-    plain = F.translate(fraction, "".join(CJK_DIGITS), "".join(map(str, CJK_DIGITS.values())))
-    value = F.when(plain != "", F.concat(whole.cast("string"), F.lit("."), plain).cast("double")).otherwise(whole.cast("double"))
-    return F.when((c != ""), F.when(negative, -value).otherwise(value))
+    def value(negative: Column, whole: Column, digits: Column) -> Column:
+        return _signed(negative, F.when(digits != "", F.concat(whole.cast("string"), F.lit("."), digits)).otherwise(whole.cast("string")).cast("double"))
+
+    return F.when(c != "", let(strip(c), lambda t: _cjk_parts(t, value)))
 
 
 def rewrite_chapter_numerals(text: Column) -> Column:
     """CHAPTER <numerals>: with the numerals as a number; case-sensitive, integral values without a fraction."""
-    found = f"(CHAPTER\\s*)([0-9{''.join(CJK_DIGITS)}{''.join(CJK_UNITS)}{''.join(CJK_SCALES)}点负-]+)(:)"
-    tokens = F.regexp_extract_all(text, F.lit(f"(?sU){found.replace('(', '').replace(')', '')}|[^C]+|."), 0)
+    numeral = f"[0-9{''.join(CJK_DIGITS)}{''.join(CJK_UNITS)}{''.join(CJK_SCALES)}点负-]+"
+
+    def shown(negative: Column, whole: Column, digits: Column) -> Column:
+        number = let(_signed(negative, F.concat(whole.cast("string"), F.lit("."), digits).cast("double")), lambda n: F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string")))
+        return F.when(digits != "", number).otherwise(_signed(negative, whole).cast("string"))
 
     def one(t: Column) -> Column:
-        n = cjk_to_number(F.regexp_extract(t, f"(?U){found}", 2))
-        shown = F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
-        return F.when(F.rlike(t, F.lit(f"(?sU)^{found}$")), F.concat(F.regexp_extract(t, f"(?U){found}", 1), shown, F.lit(":"))).otherwise(t)
+        """t is a text that ends with its only chapter, or without one."""
+        found = F.regexp_extract(t, rf"(?U)CHAPTER\s*({numeral}):$", 1)
+        return let(found, lambda n: F.when(n != "", F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(n) - 1), _cjk_parts(n, shown), F.lit(":"))).otherwise(t))
+
+    def rewritten(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(rf"(?sU).*?CHAPTER\s*{numeral}:|.+"), 0)
+        return F.when(F.contains(t, F.lit("CHAPTER")), F.array_join(F.transform(pieces, one), "")).otherwise(t)
 
-    return F.array_join(F.transform(tokens, one), "")
+    return let(text, rewritten)
 
 
 def number_heading_colon(c: Column) -> Column:
