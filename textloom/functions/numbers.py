@@ -26,35 +26,40 @@ def words_to_number(c: Column) -> Column:
     Words are added up: "one two" is 3. "hundred" multiplies what is built so far, "thousand"
     also closes it; both count as one of themselves when nothing precedes.
     """
-    words = F.filter(F.split(strip(F.replace(F.lower(c), F.lit("-"), F.lit(" "))), r"(?U)\s+"), lambda w: (w != "") & ~w.isin("and", "a"))
-    known = _map(NUMBER_WORDS)
-
-    def step(acc: Column, w: Column) -> Column:
-        value, now = F.try_element_at(known, w), acc["now"]
-        one = F.when(now > 0, now).otherwise(F.lit(1).cast("long"))
-        return F.struct(
-            F.when(w == "thousand", acc["done"] + F.when(now == 0, F.lit(1).cast("long")).otherwise(now) * 1000).otherwise(acc["done"]).cast("long").alias("done"),
-            F.when(w == "thousand", F.lit(0)).when(w == "hundred", one * 100).otherwise(now + F.coalesce(value, F.lit(0))).cast("long").alias("now"),
-            (acc["ok"] & (value.isNotNull() | w.isin("hundred", "thousand"))).alias("ok"),
+    codes = _map(NUMBER_WORDS | {"and": 0, "a": 0, "hundred": -100, "thousand": -1000}, "long")
+    words = F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[^\s-]+"), 0), lambda w: F.try_element_at(codes, w))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def step(acc: Column, k: Column) -> Column:
+        done, now = acc["done"], acc["now"]
+        return (
+            F.when(k >= 0, F.struct(done.alias("done"), (now + k).alias("now")))
+            .when(k == -100, F.struct(done.alias("done"), (F.greatest(now, one) * 100).alias("now")))
+            .when(k == -1000, F.struct((done + F.greatest(now, one) * 1000).alias("done"), zero.alias("now")))
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("now"), F.lit(True).alias("ok"))
-    return F.aggregate(words, start, step, lambda a: F.when(a["ok"] & (a["done"] + a["now"] > 0), a["done"] + a["now"]))
+    start = F.struct(zero.alias("done"), zero.alias("now"))
+    return F.aggregate(words, start, step, lambda a: F.nullif(a["done"] + a["now"], zero))
 
 
 def rewrite_chapter_words(line: Column) -> Column:
     """Spelled numbers after "chapter" in digits; only the first word converts when a space ends it, as documented."""
-    found = r"(?iU)(Chapter\s+)([\w\s-]+?)([.,:;!\s])"
-    tokens = F.regexp_extract_all(line, F.lit(r"(?isU)Chapter\s+[\w\s-]+?[.,:;!\s]|[^c]+|."), 0)
+
+    def put(t: Column, words: Column, end: int) -> Column:
+        """t with the number for its words, which end characters follow."""
+        return let(words, lambda w: let(words_to_number(w), lambda n: F.when(n.isNotNull(), F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(w) - end), n.cast("string"), F.substring(t, F.length(t) - end + 1, F.lit(end)))).otherwise(t)))
 
     def one(t: Column) -> Column:
-        n = words_to_number(F.regexp_extract(t, found, 2))
-        return F.when(F.rlike(t, F.lit(r"(?isU)^Chapter\s")) & n.isNotNull(), F.concat(F.regexp_extract(t, found, 1), n.cast("string"), F.regexp_extract(t, found, 3))).otherwise(t)
+        """t is a text that ends with its only chapter and the mark after it, or without one."""
+        return put(t, F.regexp_extract(t, r"(?iU)Chapter\s+([\w\s-]+?)[.,:;!\s]\z", 1), 1)
+
+    def rewritten(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(r"(?isU).*?Chapter\s+[\w\s-]+?[.,:;!\s]|.+"), 0)
+        inner = F.array_join(F.transform(pieces, one), "")
+        whole = let(inner, lambda l: put(l, F.regexp_extract(l, r"(?iU)Chapter\s+([\w\s-]+?)\z", 1), 0))
+        return F.when(F.rlike(t, F.lit(r"(?iU)Chapter\s")), whole).otherwise(t)
 
-    line = F.array_join(F.transform(tokens, one), "")
-    tail = r"(?iU)^(.*?)(Chapter\s+)([\w\s-]+?)\z"
-    n = words_to_number(F.regexp_extract(line, tail.replace("(?iU)", "(?isU)"), 3))
-    return F.when(n.isNotNull(), F.concat(F.regexp_extract(line, tail.replace("(?iU)", "(?isU)"), 1), F.regexp_extract(line, tail.replace("(?iU)", "(?isU)"), 2), n.cast("string"))).otherwise(line)
+    return let(line, rewritten)
 
 
 def _cjk_integer(part: Column) -> Column:

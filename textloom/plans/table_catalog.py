@@ -34,14 +34,15 @@ def _lits(values) -> Column:
 
 
 def _spelled(n: Column) -> Column:
-    """English words of a number under a million; odd numbers have an "and" after the hundreds."""
+    """English words of a number under ten million, millions as "ten hundred thousand" and on; odd numbers have an "and" after the hundreds."""
     units, tens = _lits(["", *numbers.UNITS]), _lits(["", "", *numbers.TENS])
 
+    def small(x: Column) -> Column:
+        return F.when(x < 20, F.get(units, x)).otherwise(F.concat_ws("-", F.get(tens, F.floor(x / 10).cast("int")), F.nullif(F.get(units, x % 10), F.lit(""))))
+
     def below(x: Column) -> Column:
-        rest = x % 100
-        small = F.when(rest < 20, F.get(units, rest)).otherwise(F.concat_ws("-", F.get(tens, F.floor(rest / 10).cast("int")), F.nullif(F.get(units, rest % 10), F.lit(""))))
-        hundreds = F.when(x >= 100, F.concat(F.get(units, F.floor(x / 100).cast("int")), F.lit(" hundred"), F.when(x % 2 == 1, F.lit(" and")).otherwise(F.lit(""))))
-        return F.concat_ws(" ", hundreds, F.nullif(small, F.lit("")))
+        hundreds = F.when(x >= 100, F.concat(small(F.floor(x / 100).cast("int")), F.lit(" hundred"), F.when(x % 2 == 1, F.lit(" and")).otherwise(F.lit(""))))
+        return F.concat_ws(" ", hundreds, F.nullif(small(x % 100), F.lit("")))
 
     n = n.cast("int")
     thousands = F.when(n >= 1000, F.concat(below(F.floor(n / 1000).cast("int")), F.lit(" thousand")))
