@@ -24,3 +24,8 @@ def test_first_letters_have_full_or_simple_capitals(spark):
     assert [r["simple"] for r in both] == ["ẞheit, und so. Weiter", "ᾼδης. B", "ǰa. B", "Élan. X"]
     with pytest.raises(ValueError):
         punctuation.capitalise_sentences(F.col("t"), "none")
+
+
+def test_the_chain_is_computed_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(punctuation.normalise(F.col("t"), with_nfkc=False, capitals="simple").alias("o"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 20  # before: 140, as each mention of the text repeated them

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.strings import let
 from textloom.functions.unicode import nfkc
 
 #: Quotes and full-width marks with their ASCII forms.
@@ -92,12 +93,15 @@ def capitalise_sentences(c: Column, capitals: str = "full") -> Column:
     """
     if capitals not in ("full", "simple"):
         raise ValueError(f"unknown capitals {capitals!r}")
-    first = F.substring(c, 1, 1)
-    raised = F.upper(first)
-    if capitals == "simple":
-        raised = F.when(F.length(raised) > 1, F.translate(first, *SIMPLE_CAPITALS)).otherwise(raised)
-    c = F.when((F.lower(first) == first) & (F.upper(first) != first), F.concat(raised, F.substring(c, 2, 1 << 30))).otherwise(c)
-    tokens = F.regexp_extract_all(c, F.lit(r"(?sU)[.!?]\s+[a-z]|[^.!?]+|."), 0)
+
+    def started(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        raised = F.upper(first)
+        if capitals == "simple":
+            raised = F.when(F.length(raised) > 1, F.translate(first, *SIMPLE_CAPITALS)).otherwise(raised)
+        return F.when((F.lower(first) == first) & (F.upper(first) != first), F.concat(raised, F.substring(t, 2, 1 << 30))).otherwise(t)
+
+    tokens = F.regexp_extract_all(let(c, started), F.lit(r"(?sU)[.!?]\s+[a-z]|[^.!?]+|."), 0)
     raised = F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit(r"(?sU)^[.!?]\s+[a-z]$")), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.upper(F.substring(t, -1, 1)))).otherwise(t))
     return F.array_join(raised, "")
 
